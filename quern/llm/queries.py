@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import sql
+from quern.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import classify
+
+    out = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import classify
+
+    out = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op6_quality": op6_quality}
 
 
 def oracle_sql() -> dict[str, str]:
