@@ -36,8 +36,49 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.decontaminate import measure
+
+    return measure(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
+
+
+def op7_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quern.llm.arrow_ids import read_back, write_ids
+
+    docs = _table(spark, sf_dir, "documents")
+    folder, parts = write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_back(docs, folder, parts)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quern.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.licenses import scan, summarise
+
+    return summarise(*scan(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op6_quality": op6_quality}
+    found = (op1_sharding, op2_toxicity, op3_ngram_jaccard, op4_decontamination, op6_quality, op7_arrow_ids, op8_packing, op9_rules, op10_licenses)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
