@@ -242,27 +242,35 @@ def measure(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     return slim.mapInArrow(run, T.StructType([slim.schema[key], *(T.StructField(c, number) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("longest", number)]))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = 13, coverage: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = 13, coverage: float = 0.5, length: str | None = None) -> DataFrame:
     """docs with the same columns: contaminated texts lose their hit spans, or go if these cover ``coverage`` of the words.
 
-    Texts that are not contaminated stay as they are, null texts too.
+    Texts that are not contaminated stay as they are, null texts too.  Where docs has a long column
+    named ``length``, it gets the code points of each text that was cut.
     """
     shared = _shared(docs.sparkSession, benchmark, item, text, window)
     at = docs.columns.index(text)
+    counted = docs.columns.index(length) if length in docs.columns and docs.schema[length].dataType == T.LongType() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [x.value for x in shared]
         for b in batches:
             keep, texts = [], []
-            for t in as_bytes(b.column(at)):
+            sizes = b.column(counted).to_pylist() if counted is not None else []
+            for i, t in enumerate(as_bytes(b.column(at))):
                 found = look(split_alnum(t or b""), blocks)
                 if is_contaminated(int(found.hit.sum()), found.n_words):
                     t = cleaned(t, blocks, coverage)
                     keep.append(t is not None)
+                    if sizes and t is not None:
+                        sizes[i] = len(t.decode("utf-8", "surrogatepass"))
                 else:
                     keep.append(True)
                 texts.append(t)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else c for k, c in enumerate(b.columns)]
+            columns = list(b.columns)
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            if counted is not None:
+                columns[counted] = pa.array(sizes, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -428,3 +428,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     component = nodes.select("fp", "n", "node").join(linked_to, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("root"))
     out = rows.select(key, "fp", "n").join(component, ["fp", "n"], "left")
     return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("root", F.col(key))).cast("long").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """docs with one row of each component, that of the smallest key; rows with null keys stay."""
+    found = near_duplicates(docs, key, text, percent)
+    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    named = docs.join(kept, key, "left_semi").select(*docs.columns)
+    once = found.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").limit(1).count() == 0
+    return (named if once else named.dropDuplicates([key])).unionByName(docs.where(F.col(key).isNull()))

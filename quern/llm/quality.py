@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import in_training_fold, only, written
-from quern.llm.features import COUNTS, text_counts
+from quern.llm.common import as_bytes, in_training_fold, only, written
+from quern.llm.features import COUNTS, counts, text_counts
 
 #: Ratios in [0, 1] (numerator, denominator) and the borders of their intervals, fixed.
 RATIOS = (("n_upper", "n_letters"), ("n_symbols", "n_chars"), ("n_marks", "n_chars"), ("n_pipes", "n_words"), ("n_bangs", "n_words"), ("n_digits", "n_chars"), ("n_repeat_words", "n_words"), ("n_twin_words", "n_words"), ("n_dup_lines", "n_lines"), ("n_distinct", "n_words"), ("n_ends", "n_words"))
@@ -145,3 +145,16 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     stats = written(text_counts(docs, key, text), "text-counts")
     return apply(stats, fit(stats, labels, key), key, threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose texts score threshold or more. Texts are scored where they are read."""
+    model = fit(written(text_counts(docs, key, text), "text-counts"), labels, key)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.array([counts(t) for t in as_bytes(b.column(at))], np.int64).reshape(b.num_rows, len(COUNTS))
+            yield b.filter(pa.array(model.score(phi(dict(zip(COUNTS, rows.T, strict=True)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

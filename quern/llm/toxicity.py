@@ -22,7 +22,7 @@ each other add up in the window score.  Scores lie in [0, 1]; texts are read who
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -371,21 +371,42 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def apply(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, score, predicted, n_hits, n_quoted) for each row; null and empty texts have no hits."""
+    """(key, score, predicted) for each row; null and empty texts have no hits."""
     slim = only(docs, key, text)
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.benign, model.weights))
+    shared = _share(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *lexicon, weights = shared.value
-        model = ToxicityModel(Lexicon(*lexicon), weights)
-        reader = Reader(model.lexicon)
+        score = _scorer(shared.value)
         for b in batches:
-            x = np.array([reader.features(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, Reader.FEATURES)
-            s = model.score(x)
+            s = score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
 
     return slim.mapInArrow(run, T.StructType([slim.schema[key], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
+def _share(docs: DataFrame, model: ToxicityModel):
+    """The model, of at most a few hundred terms and near words of a bounded sample, for the tasks."""
+    return docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.benign, model.weights))
+
+
+def _scorer(parts: tuple) -> Callable[[pa.Array], np.ndarray]:
+    *lexicon, weights = parts
+    model = ToxicityModel(Lexicon(*lexicon), weights)
+    reader = Reader(model.lexicon)
+    return lambda texts: model.score(np.array([reader.features(t) for t in texts.to_pylist()]).reshape(len(texts), Reader.FEATURES))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose texts score below threshold. Texts are scored where they are read."""
+    shared, at = _share(docs, fit(docs, labels, key, text)), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(score(b.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     return apply(docs, fit(docs, labels, key, text), key, text, threshold)
