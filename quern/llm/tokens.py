@@ -7,33 +7,63 @@ the result is the same ids that encoding the whole text gives (tests compare the
 
 * byte-level files: cut before each blank that something other than white space follows; the
   blank goes with what follows, and white space before it stays together, as in the file's own pattern.
-* word files (lower case, white space dropped): cut at ASCII white space.
+* word files (lower case, white space dropped): lowered first, then cut at ASCII white space.
 
-For any other file, ``Encoder`` encodes whole texts.
+A piece met for the first time is cut further where the file's pattern does so in any case (at
+single line breaks, before last marks), and what is a word of letters alone goes to the bare
+merging model of the file: the pattern has nothing to cut there.  For any other file,
+``Encoder`` encodes whole texts.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
-#: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Distinct pieces of one generation; a worker remembers two.
+REMEMBERED = 500_000
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BLANKS = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 
+#: The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in turn from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """One for each file and worker process."""
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task is one thread
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+class _Known(dict):
+    """piece -> ids as bytes, made when first asked for; pieces not asked for in two generations are forgotten."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -46,30 +76,43 @@ class Encoder:
         steps = [x.get("type") for x in norm.get("normalizers", [])]
         self.kind = "bytes" if pre.get("type") == "ByteLevel" and not norm and pre.get("use_regex") and not pre.get("add_prefix_space") else "words" if steps == ["NFC", "Replace", "Lowercase"] and (spec["model"].get("end_of_word_suffix") == "</w>") else "whole"
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str | bytes, bytes] = {}
+        if self.kind != "whole":
+            bare = spec | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding")) | {"added_tokens": []}
+            self.plain = Tokenizer.from_str(json.dumps(bare))
+        self.first = _Known(lambda p: self._make(p, "", self.first))
+        self.spaced = _Known(lambda p: self._make(p, " ", self.spaced))  # keys without their blank
 
-    def _pieces(self, text: str) -> list:
-        if self.kind == "words":
-            return text.encode("utf-8", "surrogatepass").split()
-        if _BLANKS.search(text):
-            return [p for p in _CUT.split(text) if p]
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *[" " + p for p in rest]]
+    def _ids(self, tokenizer, text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _make(self, piece: str, blank: str, own: _Known) -> bytes:
+        if piece.isalpha():
+            text = blank + piece
+            return self._ids(self.plain, text.replace(" ", BYTES[32]) if text.isascii() else text.encode().decode("latin-1").translate(BYTES))
+        if (m := _WORD_AND_MARKS.fullmatch(piece)) and m[1].isalpha():
+            return own[m[1]] + self.first[m[2]]
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                return self.first["\n"].join([own[lines[0]], *(self.first[x] for x in lines[1:])])
+        return self._ids(self.tokenizer, blank + piece)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids, as unsigned 32-bit numbers, without special tokens."""
         if not text:
             return np.empty(0, np.uint32)
-        if self.kind == "whole":
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self._pieces(text)
-        new = [p for p in set(pieces) if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set(pieces))
-        if new:
-            texts = [p.decode("utf-8", "surrogatepass") for p in new] if self.kind == "words" else new
-            for p, e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        known = self.known
-        return np.frombuffer(b"".join([known[p] for p in pieces]), np.uint32)
+        if self.kind == "bytes":
+            if _BLANKS.search(text):
+                parts = [self.spaced[p[1:]] if p[0] == " " and len(p) > 1 else self.first[p] for p in _CUT.split(text) if p]
+            else:
+                head, *rest = text.split(" ")
+                parts = [self.first[head]] if head else []
+                parts += map(self.spaced.__getitem__, rest)
+            return np.frombuffer(b"".join(parts), np.uint32)
+        if self.kind == "words":
+            low = text.lower()
+            # a last sigma is lowered by its place in a word, and a lowered text need not be normal: leave those to the library
+            if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+                pieces = [p.decode("utf-8", "surrogatepass") for p in low.encode("utf-8", "surrogatepass").split()] if not low.isascii() else re.split(r"[ \t\n\r\x0b\x0c]+", low.strip(" \t\n\r\x0b\x0c"))
+                return np.frombuffer(b"".join(map(self.first.__getitem__, filter(None, pieces))), np.uint32)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
