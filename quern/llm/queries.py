@@ -29,6 +29,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document."""
+    import public_tokenizers
+    from quern.llm.attribution import section_tokens
+
+    return section_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality import classify
 
@@ -77,9 +85,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_toxicity, op3_ngram_jaccard, op4_decontamination, op6_quality, op7_arrow_ids, op8_packing, op9_rules, op10_licenses)
+    found = (op1_sharding, op2_toxicity, op3_ngram_jaccard, op4_decontamination, op5_token_counts, op6_quality, op7_arrow_ids, op8_packing, op9_rules, op10_licenses)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sql.SHARDING}
+    return {"op1_sharding": sql.SHARDING, "op3_ngram_jaccard": sql.JACCARD, "op4_decontamination": sql.DECONTAMINATION}
