@@ -352,13 +352,13 @@ def _reference_edits(spark: SparkSession) -> DataFrame:
     return references.reference_edits(sample.table(spark, "name_ref"), sample.table(spark, "visible_name"), spark.createDataFrame(_MOVED, _MOVED_SCHEMA))
 
 
-@query(f"SELECT path, kind, span_start, span_len, text, "at" FROM {_REFS}")
+@query(f'SELECT path, kind, span_start, span_len, text, "at" FROM {_REFS}')
 def ns_reference_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q10 Q11 Q11a Q11b Q11c Q11d J12 J16 J17 A12 F11 F17 F18 P17 W6: the ladder of references."""
     return _reference_edits(spark)
 
 
-@query(f"SELECT path, kind, span_start, span_len, text, min("at") AS "at" FROM {_REFS} GROUP BY path, kind, span_start, span_len, text")
+@query(f'SELECT path, kind, span_start, span_len, text, min("at") AS "at" FROM {_REFS} GROUP BY path, kind, span_start, span_len, text')
 def ns_edit_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal edits once, in order of insertion."""
     return edits.edit_set(_reference_edits(spark))
