@@ -80,7 +80,8 @@ def minimise(mean_p: np.ndarray, second_p: np.ndarray, mean_u: np.ndarray, secon
         _, up = risk(mean_p, second_p, w, 1)
         u, gu = risk(mean_u, second_u, w, -1)
         p, gp = risk(mean_p, second_p, w, -1)
-        grad = prior * up + ridge * w + ((gu - prior * gp) if u - prior * p >= 0 else -(gu - prior * gp))
+        inner = gu - prior * gp
+        grad = prior * up + ridge * w + inner if u - prior * p >= 0 else -inner
         w = w - step * scale * scale * grad
     return w
 

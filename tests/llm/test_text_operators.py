@@ -12,7 +12,7 @@ def items(rows, seed=1):
     rng = random.Random(seed)
     out = []
     for i in range(25):
-        w = (rng.choice(rows)[1] or "x").split()[:4000]
+        w = (rng.choice(rows)[1] or "x").split()[:4000] or ["x"]
         a = rng.randrange(len(w))
         out.append((i, " ".join(w[a : a + rng.choice((1, 2, 5, 12, 13, 14, 30))]) + "!"))
     return [*out, (30, None), (31, " .. "), (32, out[3][1]), (33, "no such words here at all")]
