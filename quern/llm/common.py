@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,19 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: Rows that are worked on at once, and the bytes from which fewer are.
+SLICE_ROWS, SLICE_BYTES = 1000, 16_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches (views), so that what is made of a batch stays small beside it."""
+    for b in batches:
+        rows = SLICE_ROWS if b.nbytes <= SLICE_BYTES else max(1, min(SLICE_ROWS, SLICE_BYTES * b.num_rows // b.nbytes))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # workers live on; what a task held must not stay with them
+
+
 def in_training_fold(doc_id: Column | str = "doc_id") -> Column:
     """Labels may be learnt from a row only where this holds: crc32 of the id as text, mod 5, is not 0."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

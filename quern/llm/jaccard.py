@@ -21,8 +21,8 @@ is made twice here, once across the cluster and once inside small blocks:
     least node of each such list (lists that were not counted are taken as long).  This is one edge a posting, however long the list.
 5.  Components of these candidate edges are *blocks*: a link never leaves its block.  Each set moves to its
     block once, and the block runs DivideSkip with union-find, leaving out pairs that are
-    connected already.  A block of more than BLOCK_NODES nodes is cut into chunks, and all pairs of
-    chunks are searched, each in a task of its own.
+    connected already.  A block of more than BLOCK_NODES nodes is cut into chunks, each a task of its
+    own: see ``_search``.
 
 The result is exact up to collisions of 64-bit hashes.  No pair of a group of copies is ever
 emitted, and no list, set or group is cut short.
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import as_bytes, only, split_ws, written
+from quern.llm.common import as_bytes, only, slices, split_ws, written
 from quern.llm.components import components
 
 #: Frequent means on more than SHORT lists' worth of texts; at most MOST_FREQUENT keys (4 bytes each) are sent to the tasks.
@@ -50,10 +50,10 @@ SHORT, MOST_FREQUENT = 12, 4_000_000
 COUNTED = 0.5
 #: Posted beyond the plain prefix, as a share of the set.
 EXTRA = 0.05
-BLOCK_NODES = 4096
+BLOCK_NODES = 1024
 #: Bits of the filter that tells which texts are needed again; a fixed bound.
 FILTER_BITS = 1 << 26
-_REMEMBERED = 600_000
+_REMEMBERED = 200_000
 
 _words: dict[bytes, int] = {}
 
@@ -126,6 +126,7 @@ def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
 
 def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys that more than SHORT texts hold, at most MOST_FREQUENT of them, and their levels (quarters of a doubling)."""
+    bits = min(16, max(6, (docs.count() // 4000).bit_length()))  # key ranges of about a million keys each
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -134,16 +135,16 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         def out() -> Iterator[pa.RecordBatch]:
             keys, n = np.unique(np.concatenate([*held, np.empty(0, np.uint32)]), return_counts=True)
             n = np.minimum(n, 255).astype(np.uint8)  # more than SHORT is all that matters
-            edges = np.searchsorted(keys >> np.uint32(24), np.arange(257))
+            edges = np.searchsorted(keys >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
             rows = [(c, keys[a:z].tobytes(), n[a:z].tobytes()) for c, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "keys", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in as_bytes(b.column(0)):
                 k = _keys(shingle_set(t))
                 held.append(k)
                 size += len(k)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield from out()
                     held, size = [], 0
         yield from out()
@@ -195,7 +196,7 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], key: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [shingle_set(t) for t in as_bytes(b.column(1))]
             first = [_ordered(s, frequent) if len(s) else (s, 0) for s in found]
             flat, offsets = _flat([f[0] for f in first])
@@ -205,19 +206,22 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], key: str, tex
 
 
 def _short_list_pairs(nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs (a, b) that meet often enough on lists of rare shingles."""
+    """Pairs (a, b) that meet often enough on lists of rare shingles.
+
+    A posting is six bytes of the hash and the place of its node in the list beside it, so
+    its size has a bound whatever the number of buckets.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n, often = (b.column(k).to_numpy() for k in (0, 1, 3))
-            lists = b.column(2)
+            ids, often = b.column(0).to_numpy(), b.column(2).to_numpy()
+            lists = b.column(1)
             flat = lists.flatten().to_numpy().view(np.uint64)
             size = np.diff(lists.offsets.to_numpy())
-            rare = size - often
             owner = np.repeat(np.arange(len(ids)), size)
-            keep = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)) < np.repeat(rare, size)
+            keep = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)) < np.repeat(size - often, size)
             flat, owner = flat[keep], owner[keep]
-            # the order is by hash, so small sets aside, posted hashes are low: buckets are cut from the low bits
+            # the order is by hash, so posted hashes are low: buckets are cut from the low bits
             bucket = ((flat & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             flat, owner, bucket = flat[order], owner[order], bucket[order]
@@ -227,22 +231,21 @@ def _short_list_pairs(nodes: DataFrame, percent: int, buckets: int) -> DataFrame
                 a, z = edges[k], edges[k + 1]
                 if z > a:
                     used, local = np.unique(owner[a:z], return_inverse=True)
-                    info = np.stack([ids[used], n[used], often[used]], axis=1).astype(np.int64)
-                    rows.append((k, flat[a:z].tobytes(), local.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), info.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "shingles", "owners", "info"])
+                    six = flat[a:z].view(np.uint8).reshape(-1, 8)[:, 2:]
+                    rows.append((k, six.tobytes(), local.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), ids[used].astype(np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "shingles", "owners", "nodes"])
 
     def meet(group: pa.Table) -> pa.Table:
-        shingles, owners, infos, at = [], [], [], 0
-        for s, o, i in zip(*(group.column(c).to_pylist() for c in ("shingles", "owners", "info")), strict=True):
-            s, i = np.frombuffer(s, np.uint64), np.frombuffer(i, np.int64).reshape(-1, 3)
-            shingles.append(s)
-            owners.append(np.frombuffer(o, np.uint16 if len(o) == 2 * len(s) else np.uint32).astype(np.int64) + at)
-            infos.append(i)
-            at += len(i)
-        s, o, info = np.concatenate(shingles), np.concatenate(owners), np.concatenate(infos)
+        shingles, owners = [], []
+        for s, o, i in zip(*(group.column(c).to_pylist() for c in ("shingles", "owners", "nodes")), strict=True):
+            wide = np.zeros((len(s) // 6, 8), np.uint8)
+            wide[:, 2:] = np.frombuffer(s, np.uint8).reshape(-1, 6)
+            shingles.append(wide.view(np.uint64).reshape(-1))
+            owners.append(np.frombuffer(i, np.int64)[np.frombuffer(o, np.uint16 if len(o) * 3 == len(s) else np.uint32)])
+        s, o = np.concatenate(shingles), np.concatenate(owners)
         order = np.argsort(s, kind="stable")
         s, o = s[order], o[order]
-        pairs = []
+        first, second = [], []
         # each posting meets those after it on its list: as many rounds as the longest list has members
         step, alive = 1, np.arange(len(s))
         while True:
@@ -251,25 +254,20 @@ def _short_list_pairs(nodes: DataFrame, percent: int, buckets: int) -> DataFrame
             if not len(alive):
                 break
             x, y = o[alive], o[alive + step]
-            small, large = np.minimum(info[x, 1], info[y, 1]), np.maximum(info[x, 1], info[y, 1])
-            ok = (100 * small >= percent * large) & (info[x, 0] != info[y, 0])
-            pairs.append(np.stack([x[ok], y[ok]], axis=1))
+            first.append(np.minimum(x, y)[x != y])
+            second.append(np.maximum(x, y)[x != y])
             step += 1
-        p = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        swap = info[p[:, 0], 0] > info[p[:, 1], 0]
-        p[swap] = p[swap][:, ::-1]
-        count = np.empty(0, np.int64)
-        if len(p):
-            p = p[np.lexsort((info[p[:, 1], 0], info[p[:, 0], 0]))]
-            new = np.concatenate([[True], (info[p[1:, 0], 0] != info[p[:-1, 0], 0]) | (info[p[1:, 1], 0] != info[p[:-1, 1], 0])])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(p)))
-            p = p[first]
-        a, b = info[p[:, 0]], info[p[:, 1]]
-        return pa.table({"a": a[:, 0], "b": b[:, 0], "na": a[:, 1], "nb": b[:, 1], "oa": a[:, 2], "ob": b[:, 2], "c": count.astype(np.int64)})
-
-    met = nodes.select("node", "n", "posted", "n_often").mapInArrow(post, "bucket long, shingles binary, owners binary, info binary").groupBy("bucket").applyInArrow(meet, "a long, b long, na long, nb long, oa long, ob long, c long")
-    both = met.groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.sum("c").alias("c"))
+        a, b = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (first, second))
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+        return pa.table({"a": a[start], "b": b[start], "c": np.diff(np.append(start, len(a))).astype(np.int64)})
+
+    met = nodes.select("node", "posted", "n_often").mapInArrow(post, "bucket long, shingles binary, owners binary, nodes binary").groupBy("bucket").applyInArrow(meet, "a long, b long, c long")
+    size = nodes.select(F.col("node"), "n", "n_often")
+    both = met.groupBy("a", "b").agg(F.sum("c").alias("c"))
+    both = both.join(size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("n_often").alias("oa")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("n_often").alias("ob")), "b")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
 
     def surplus(n: str):
@@ -391,7 +389,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in batches:
+        for b in slices(batches):
             at = b.column(1).to_numpy()
             b = b.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
             found = [shingle_set(t) for t in as_bytes(b.column(2))]
@@ -400,6 +398,46 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) ->
     return slim.mapInArrow(run, "node long, fp binary, shingles binary").join(wanted.select("node", "fp", "block", "size", "chunk"), ["node", "fp"])
 
 
+def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks: int, percent: int) -> DataFrame:
+    """(a, b): links that connect each linked class of nodes.
+
+    wanted: (node, fp, block, size, chunk); sets_of gives the (block, size, chunk, node, shingles) of such rows.
+    Small blocks are solved whole, many to a task.  A large block is solved in two steps.  First
+    each of its chunks, together with the block's least node: in a group of near copies this
+    connects nearly all with that node, wherever they are.  A link that is still missing has an
+    end outside the class of the least node; these ends, chunk by chunk, then meet all chunks.
+    """
+    solve = lambda g: solve_groups(g, percent)
+    large = F.col("size") > BLOCK_NODES
+    chunks = F.ceil(F.col("size") / BLOCK_NODES).cast("long")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # the least node of a block is its name; a large block's goes to all its chunks
+    at = F.explode(F.when(large & (F.col("node") == F.col("block")), upto(chunks)).otherwise(F.array("chunk")))
+    task = F.when(large, F.xxhash64("block", "at")).otherwise(F.pmod(F.xxhash64("block"), F.lit(tasks)))
+    first = sets_of(wanted).withColumn("at", at).select(task.alias("task"), "block", "node", "shingles")
+    step = written(first.groupBy("task").applyInArrow(solve, "node long, root long"), "links")
+    links = step.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    big = wanted.where(large)
+    if big.isEmpty():
+        return links
+    inside = components(links.join(big.select(F.col("node").alias("a")), "a", "left_semi"))
+    placed = big.join(inside, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = placed.where("node = block").select("block", F.col("root").alias("main"))
+    placed = placed.join(main, "block").withColumn("apart", F.col("root") != F.col("main"))
+    rest = placed.where("apart").groupBy("block").agg(F.count("*").alias("rest"))
+    placed = written(placed.join(rest, "block").withColumns({"groups": F.ceil(F.col("rest") / BLOCK_NODES).cast("long"), "chunks": chunks}), "large-blocks")
+    if placed.isEmpty():
+        return links
+    whole = sets_of(placed.select("node", "fp", "block", "size", "chunk")).select("node", "shingles").join(placed.select("node", "block", "chunk", "apart", "groups", "chunks"), "node")
+    group = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("groups"))
+    # a node apart goes, with its group, to every chunk of its block; every node goes, with its chunk, to every group
+    asked = F.when(F.col("apart"), F.transform(upto(F.col("chunks")), lambda j: F.struct(group.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
+    met = F.transform(upto(F.col("groups")), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
+    both = whole.withColumn("to", F.explode(F.array_distinct(F.concat(asked, met)))).select(F.xxhash64("block", "to.i", "to.j").alias("task"), "block", "node", "shingles")
+    last = written(both.groupBy("task").applyInArrow(solve, "node long, root long"), "links")
+    return links.unionByName(last.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """key, ``n_shingles``, ``component_id`` (the smallest key reachable by links, its own included), one row per input row.
 
@@ -410,21 +448,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     live = rows.where(F.col(key).isNotNull() & (F.col("n") > 0))
     nodes = written(live.groupBy("fp", "n", "n_often").agg(F.min(F.col(key).cast("long")).alias("node"), F.first("posted").alias("posted")), "nodes")
     volume = nodes.agg(F.sum(F.size("posted"))).first()[0] or 0
-    edges = _short_list_pairs(nodes, percent, max(8, int(volume // 400_000))).unionByName(_long_list_edges(nodes, percent))
+    edges = _short_list_pairs(nodes, percent, max(8, int(volume // 1_500_000))).unionByName(_long_list_edges(nodes, percent))
     blocks = components(edges)
     sizes = blocks.groupBy("root").agg(F.count("*").alias("size"))
     wanted = written(blocks.join(sizes, "root").join(nodes.select("node", "fp"), "node").select("node", "fp", F.col("root").alias("block"), "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES)).alias("chunk")), "blocks")
-    count = wanted.count()
-    tasks = max(8, count // 1500)
-    members = _candidate_sets(docs, wanted, key, text)
-    # a large block goes to a task for each pair of its chunks
-    chunks = F.ceil(F.col("size") / BLOCK_NODES)
-    placed = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).select(
-        "block", "node", "shingles",
-        F.when(chunks == 1, F.pmod(F.xxhash64("block"), F.lit(tasks))).otherwise(F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("task"),
-    )
-    found = written(placed.groupBy("task").applyInArrow(lambda g: solve_groups(g, percent), "node long, root long"), "links")
-    linked_to = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    tasks = max(8, wanted.count() // 1500)
+    links = _search(lambda some: _candidate_sets(docs, some, key, text), wanted, tasks, percent)
+    linked_to = components(links)
     component = nodes.select("fp", "n", "node").join(linked_to, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("root"))
     out = rows.select(key, "fp", "n").join(component, ["fp", "n"], "left")
     return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("root", F.col(key))).cast("long").alias("component_id"))

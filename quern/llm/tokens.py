@@ -26,7 +26,7 @@ from array import array
 import numpy as np
 
 #: Distinct pieces of one generation; a worker remembers two.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BLANKS = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
