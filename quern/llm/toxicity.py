@@ -21,6 +21,7 @@ each other add up in the window score.  Scores lie in [0, 1]; texts are read who
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,9 @@ from quern.llm.common import in_training_fold, only
 WINDOW = 12
 STEM_LENGTHS = (3, 4, 5, 6, 7)
 REPORTING = frozenset("said says called calls quote quoted quotes wrote word term dit appelé gesagt nannte sagte dijo llamó".split())
+#: Signs that stand for letters.
+LEET = str.maketrans("013457@$!|", "oieastasil")
+_DRAWN_OUT = re.compile(r"(.)\1{2,}")
 OPENING, CLOSING = "\"“«„‘`", "\"”»“’`"
 #: Distinct words a worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -64,10 +68,13 @@ class Lexicon:
         for n in self.stem_lengths:
             if n <= len(word) and word[:n] in self.stems:
                 return "stem", self.stems[word[:n]]
-        if word not in self.benign and (terms := self.matcher.find(word)):
-            best = max(self.words[t][1] for t in terms)
-            if best > 0:
-                return "near", best
+        if word in self.benign:
+            return None
+        for w in dict.fromkeys((word, _DRAWN_OUT.sub(r"\1", word.translate(LEET)))):  # as written, then with letters for signs and drawn-out letters once
+            if w and any(map(str.isalpha, w)) and (terms := self.matcher.find(w)):
+                best = max(self.words[t][1] for t in terms)
+                if best > 0:
+                    return "near", best
         return None
 
 

@@ -73,6 +73,14 @@ def test_quotation_is_told_from_abuse():
     assert reported[1] == 0 and reported[4] > 0
 
 
+def test_disguises():
+    lexicon = toxicity.Lexicon({"idiot": (4.0, 3.0), "worthless": (4.0, 3.0)}, {}, frozenset({"idiom"}))
+    for word in ("1d10t", "idi0t", "idiooooot", "id!ot", "w0rthle$$", "wrthles"):
+        assert lexicon.look_up(word)[0] == "near", word
+    for word in ("idiom", "1234567", "radio", ""):
+        assert lexicon.look_up(word) is None, word
+
+
 def test_quality_held_out(spark):
     rows, labels = corpus()
     table = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
