@@ -19,6 +19,7 @@ SCHEMAS = {
     "moved_type": "type_full STRING, source_ns STRING, class_name STRING, target_ns STRING",
     "candidate": "seq BIGINT, path STRING",
     "path_root": "root STRING",
+    "diagnostic": "project_name STRING, severity STRING, message STRING",
 }
 EDIT = "path STRING, seq INT, kind STRING, span_start INT, span_len INT, text STRING"
 FRAGMENT = "path STRING, kind STRING, start INT, len INT, prefix STRING, alias STRING, name STRING, ns STRING, suffix STRING, form STRING, is_markup_ext BOOLEAN"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.paths import path_key
 from quern.model import Facts, Settings
-from quern.operators.ownership import below_roots, file_projects
+from quern.operators.ownership import below_roots, file_projects, unmatched_roots
 from quern.operators.state import alive_anywhere, alive_outside, dead_usings, emptied
 from quern.plans import edits, markup_moves, planner, references
 
@@ -19,10 +19,11 @@ SUCCESS, ERROR, ADJUSTMENT_REQUIRED = 0, 1, 2
 
 @dataclass
 class Outcome:
-    scan: DataFrame
+    scan: DataFrame | None
     edits: DataFrame | None
     bodies: DataFrame | None
     exit_code: int
+    said: list[str]
 
 
 def candidates(facts: Facts, project_file: str | None = None) -> DataFrame:
@@ -35,12 +36,18 @@ def candidates(facts: Facts, project_file: str | None = None) -> DataFrame:
 
 
 def exit_code(n_plan: int, n_block: int, settings: Settings) -> int:
-    """Blocked files win over the finding of a check."""
+    """Blocked files win over the finding of a check; they do not keep others from being adjusted."""
     if n_block:
         return ERROR
     return ADJUSTMENT_REQUIRED if settings.check_only and n_plan else SUCCESS
 
 
+def compile_errors(diagnostic: DataFrame, shown: int = 10) -> tuple[int, list[str]]:
+    """How many errors there are, and the first few."""
+    errors = diagnostic.where("severity = 'Error'")
+    return errors.count(), [f"{r['project_name']}: {r['message']}" for r in errors.orderBy("project_name", "message").limit(shown).collect()]
+
+
 def all_edits(found: DataFrame, facts: Facts, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(edit rows with spans to apply, moved types) of the planned code files of a scan."""
     plans = found.where("outcome = 'plan'")
@@ -63,14 +70,22 @@ def all_edits(found: DataFrame, facts: Facts, settings: Settings) -> tuple[DataF
 
 
 def run(facts: Facts, settings: Settings, project_file: str | None = None) -> Outcome:
-    """The answer as relations; bodies are not written here (see quern.sources.tables.encode_bodies)."""
+    """The answer as relations; bodies are not written here (see quern.sources.tables.encode_bodies).
+
+    A solution with errors stops the run unless it is forced; a root that no file matches is only reported.
+    A failure while planning fails the job; a blocked file does not.
+    """
+    errors, shown = compile_errors(facts["diagnostic"])
+    if errors and not settings.force:
+        return Outcome(None, None, None, ERROR, [*shown, f"{errors} error(s)"])
+    said = [f"warning: {r['root']} contains no file of this solution." for r in unmatched_roots(file_projects(facts["solution_file"]).select("path"), facts["path_root"]).collect()]  # of the roots asked for
     found = planner.scan(candidates(facts, project_file), facts, settings)
     counts = {r["outcome"]: r["n"] for r in found.groupBy("outcome").agg(F.count("*").alias("n")).toLocalIterator()}  # three rows
     code = exit_code(counts.get("plan", 0), counts.get("block", 0), settings)
-    if settings.dry_run or settings.check_only or (code == ERROR and not settings.force):
-        return Outcome(found, None, None, code)
+    if settings.dry_run or settings.check_only or not counts.get("plan", 0):
+        return Outcome(found, None, None, code, said)
     rows, moved = all_edits(found, facts, settings)
     spans = rows.where("span_start is not null").select("path", F.col("span_start").alias("start"), F.col("span_len").alias("len"), "text")
     fresh = edits.using_spans(edits.new_usings(rows, facts["using_clause"]), facts["using_clause"], facts["body"])
     code_bodies = edits.apply(facts["body"], spans.unionByName(fresh))
-    return Outcome(found, rows, code_bodies.unionByName(markup_moves.move(facts["body"], moved)), code)
+    return Outcome(found, rows, code_bodies.unionByName(markup_moves.move(facts["body"], moved)), code, said)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern import sample
 from quern.functions import markup, names, paths
-from quern.operators import ordered, ownership, state
+from quern.operators import ordered, ownership, state, trees
 from quern.plans import edits, markup_moves, planner, references, session
 from quern.sources.tables import parse_settings, render_settings
 
@@ -393,9 +393,7 @@ def ns_greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ns_new_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts after a whole session."""
-    from dataclasses import replace
-
-    return session.run(sample.facts(spark), replace(sample.SETTINGS, force=True)).bodies
+    return session.run(sample.facts(spark), sample.SETTINGS).bodies
 
 
 @query()
@@ -443,6 +441,63 @@ def ns_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in keys], "folder string")
 
 
+# ---- trees -------------------------------------------------------------------------------------
+_NODES = [
+    ("f.cs", 1, None, "unit", 0), ("f.cs", 2, 1, "ns", 5), ("f.cs", 3, 2, "ns", 20), ("f.cs", 4, 3, "class", 30), ("f.cs", 5, 4, "access", 40), ("f.cs", 6, 5, "access", 40), ("f.cs", 7, 6, "access", 40), ("f.cs", 8, 7, "name", 40),
+    ("f.cs", 9, 2, "class", 10), ("f.cs", 10, 9, "name", 12), ("g.cs", 1, None, "unit", 0), ("g.cs", 2, 1, "class", 3), ("g.cs", 3, 2, "class", 9),
+]
+_NODE_SCHEMA = "path STRING, node INT, parent INT, kind STRING, start INT"
+_NS_NAMES = [("f.cs", 2, "A.B"), ("f.cs", 3, "Inner")]
+_UP = f"""nodes AS {sample.values(_NODES, _NODE_SCHEMA)}, up(path, node, ancestor, parent, kind, distance) AS (
+  SELECT path, node, node, parent, kind, 0 FROM nodes UNION ALL SELECT u.path, u.node, n.node, n.parent, n.kind, u.distance + 1 FROM up u JOIN nodes n ON n.path = u.path AND n.node = u.parent)"""
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_NODES, _NODE_SCHEMA)
+
+
+@query(f"""WITH RECURSIVE {_UP}, run AS (SELECT u.*, n.kind AS own FROM up u JOIN nodes n ON n.path = u.path AND n.node = u.node), stop AS (SELECT path, node, min(distance) AS s FROM run WHERE kind <> own GROUP BY 1, 2)
+  SELECT r.path, r.node, arg_max(r.ancestor, r.distance) AS top FROM run r LEFT JOIN stop s ON s.path = r.path AND s.node = r.node WHERE s.s IS NULL OR r.distance < s.s GROUP BY 1, 2""")
+def ns_outermost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outermost node of an unbroken run of one kind."""
+    return trees.outermost_same_kind(_nodes(spark))
+
+
+@query(f"WITH RECURSIVE {_UP} SELECT u.path, u.ancestor AS node, arg_min(n.node, u.distance * 1000 + n.start) AS found FROM up u JOIN nodes n ON n.path = u.path AND n.node = u.node WHERE u.distance > 0 AND n.kind = 'class' GROUP BY 1, 2")
+def ns_first_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth first, the first descendant of a kind."""
+    return trees.first_below(_nodes(spark), "class")
+
+
+@query(f"WITH RECURSIVE {_UP} SELECT u.path, u.ancestor AS node, n.node AS found FROM up u JOIN nodes n ON n.path = u.path AND n.node = u.node WHERE u.distance > 0 AND n.kind = 'name'")
+def ns_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of a kind."""
+    return trees.below(_nodes(spark), "name")
+
+
+@query(f"""WITH RECURSIVE {_UP}, named AS {sample.values(_NS_NAMES, 'path STRING, node INT, name STRING')} SELECT u.path, u.node, string_agg(m.name, '.' ORDER BY u.distance DESC) AS full_name FROM up u JOIN named m ON m.path = u.path AND m.node = u.ancestor
+  WHERE (u.path, u.node) IN (SELECT path, node FROM named) GROUP BY 1, 2""")
+def ns_declared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full names of nested declarations."""
+    return trees.declared_names(_nodes(spark), spark.createDataFrame(_NS_NAMES, "path string, node int, name string"))
+
+
+_ERRORS = [("A", "Error", "e2"), ("A", "Warning", "w"), ("B", "Error", "e1"), ("A", "Error", "e1"), ("A", "Hidden", "h")]
+
+
+@query(f"SELECT project_name, message FROM {sample.values(_ERRORS, 'project_name STRING, severity STRING, message STRING')} WHERE severity = 'Error' ORDER BY 1, 2 LIMIT 10")
+def ns_compile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten errors."""
+    return spark.createDataFrame(_ERRORS, "project_name string, severity string, message string").where("severity = 'Error'").orderBy("project_name", "message").limit(10).select("project_name", "message")
+
+
+@query(f"SELECT seq, CASE WHEN seq % 2 = 0 THEN seq || '/' || n || ' Performing cleanup ' || path ELSE seq || '/' || n || ': ' || path END AS line FROM {R('candidate')}, (SELECT count(*) AS n FROM {R('candidate')})")
+def ns_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress lines of both stages."""
+    n = len(sample.TABLES["candidate"])
+    return sample.table(spark, "candidate").select("seq", F.when(F.col("seq") % 2 == 0, F.format_string("%d/%d Performing cleanup %s", "seq", F.lit(n), "path")).otherwise(F.format_string("%d/%d: %s", "seq", F.lit(n), "path")).alias("line"))
+
+
 # ---- markup --------------------------------------------------------------------------------------
 @query(f"""SELECT path, len(regexp_extract_all(body, '(?s)<!--.*?-->')) AS n_comments, regexp_extract(body, 'xmlns:(\\w+)="http://schemas.microsoft.com/winfx/2006/xaml"', 1) AS language_alias,
   regexp_extract(body, 'x:Class\\s?=\\s?"([\\w.]+)\\.\\w+"', 1) AS root_ns, regexp_extract(body, 'x:Class\\s?=\\s?"[\\w.]+\\.(\\w+)"', 1) AS root_name, len(regexp_extract_all(body, 'xmlns\\s*:\\s*(\\w+)\\s*=\\s*"(clr-namespace|using):')) AS n_mappings,

@@ -83,6 +83,7 @@ TABLES: dict[str, list[tuple]] = {
     "body": [(S + "MyApp\\Sub\\Deep\\Class1.cs", "UTF-8", CLASS1), (S + "MyApp.Tests\\Use.cs", "UTF-8-BOM", USE), (S + "MyApp\\Views\\Main.xaml", "UTF-8", MAIN)],
     "candidate": [(i + 1, p) for i, p in enumerate(dict.fromkeys([*(f[0] for f in _FILES[:-1] if "\\obj\\" not in f[0]), S + "Stray.cs"]))],
     "path_root": [],
+    "diagnostic": [("MyApp", "Warning", "unused variable")],
 }
 TABLES["namespace_decl"][0] = (*TABLES["namespace_decl"][0][:5], CLASS1.index("A.B"), 3, 1)
 TABLES["namespace_decl"][-1] = (*TABLES["namespace_decl"][-1][:5], USE.index("MyApp.Tests"), 11, 1)

@@ -51,8 +51,8 @@ def write_facts(facts: Facts, folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-#: Element names of the settings file.
-SETTINGS_ROOT, SETTINGS_LIST, SETTINGS_ITEM = "AdjustNamespaceSettings", "SkippedFolderSuffixes", "string"
+#: Element names of the settings file; its outermost element may have any name.
+SETTINGS_LIST, SETTINGS_ITEM = "SkippedFolderSuffixes", "string"
 
 
 def parse_settings(xml: str | None, solution_folder: str) -> tuple[str, ...]:
@@ -63,8 +63,8 @@ def parse_settings(xml: str | None, solution_folder: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(canonical(e.text.strip(), solution_folder) for e in root.iter(SETTINGS_ITEM) if e.text and e.text.strip()))
 
 
-def render_settings(folders: list[str]) -> str:
-    root = ElementTree.Element(SETTINGS_ROOT)
+def render_settings(folders: list[str], root_name: str = "Settings") -> str:
+    root = ElementTree.Element(root_name)
     items = ElementTree.SubElement(root, SETTINGS_LIST)
     for f in folders:
         ElementTree.SubElement(items, SETTINGS_ITEM).text = f

@@ -31,7 +31,7 @@ def test_markup_that_would_not_change_is_none(spark):
 
 
 def test_session_rewrites_texts(spark):
-    out = session.run(sample.facts(spark), replace(sample.SETTINGS, force=True))
+    out = session.run(sample.facts(spark), sample.SETTINGS)
     bodies = {r["path"].removeprefix(sample.S): r["body"] for r in out.bodies.collect()}
     assert out.exit_code == session.ERROR
     assert bodies[r"MyApp\Sub\Deep\Class1.cs"] == sample.CLASS1.replace("namespace    /**/  A.B", "namespace    /**/  MyApp.Sub.Deep").replace("using System;", "using System;\r\nusing A.B;")
@@ -41,10 +41,17 @@ def test_session_rewrites_texts(spark):
     assert "<!-- <old:Class1/> -->" in bodies[r"MyApp\Views\Main.xaml"]
 
 
-def test_blocked_files_stop_a_run_unless_forced(spark):
-    out = session.run(sample.facts(spark), sample.SETTINGS)
-    assert out.bodies is None
-    assert out.exit_code == session.ERROR
+def test_errors_and_unmatched_roots_stop_a_run(spark):
+    f = sample.facts(spark)
+    f.tables["diagnostic"] = spark.createDataFrame([("MyApp", "Error", "CS0103")], "project_name string, severity string, message string")
+    out = session.run(f, sample.SETTINGS)
+    assert (out.scan, out.exit_code, out.said) == (None, session.ERROR, ["MyApp: CS0103", "1 error(s)"])
+    assert session.run(f, replace(sample.SETTINGS, force=True, dry_run=True)).scan is not None
+    g = sample.facts(spark)
+    g.tables["path_root"] = spark.createDataFrame([("c:\\solution\\My",)], "root string")
+    out = session.run(g, sample.SETTINGS)
+    assert out.said == ["warning: c:\\solution\\My contains no file of this solution."]
+    assert out.scan.count() == 0 and out.exit_code == session.SUCCESS
 
 
 @pytest.mark.parametrize(("plan", "block", "check", "code"), [(0, 0, False, 0), (3, 0, False, 0), (3, 0, True, 2), (0, 0, True, 0), (3, 1, True, 1), (0, 1, False, 1)])
@@ -109,3 +116,19 @@ def test_facts_round_trip(spark, tmp_path):
     f = read_facts(spark, f"file://{tmp_path}")
     assert f["namespace_decl"].count() == len(sample.TABLES["namespace_decl"])
     assert planner.plan(f["candidate"], f, sample.SETTINGS).count() == len(WANT)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quern import cli
+
+    write_facts(sample.facts(spark), f"file://{tmp_path}/facts")
+    (tmp_path / "s.xml").write_text(render_settings(["MyApp\\Impl"]))
+    args = [f"file://{tmp_path}/facts", "--settings", f"file://{tmp_path}/s.xml", "--solution-folder", "c:\\solution"]
+    assert cli.main([*args, "--dry-run", "-v"]) == session.ERROR
+    said = capsys.readouterr().out
+    assert "Class1.cs -> MyApp.Sub.Deep" in said and "Stray" not in said
+    assert cli.main([*args, "--check", "-p", "c:\\solution\\MyApp\\Sub"]) == session.ADJUSTMENT_REQUIRED
+    assert cli.main([*args, "-p", "c:\\solution\\MyApp\\Sub", "--out", f"file://{tmp_path}/out"]) == session.SUCCESS
+    out = {r["path"].rpartition("\\")[2]: bytes(r["content"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert out["Use.cs"].startswith(b"\xef\xbb\xbfusing System;")
+    assert b"MyApp.Sub.Deep" in out["Class1.cs"]
