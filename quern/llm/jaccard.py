@@ -18,7 +18,8 @@ is made twice here, once across the cluster and once inside small blocks:
     definition; pairs on them are counted, and a pair stays if its count reaches what is needed
     less the posted frequent shingles of its two texts.
 4.  A node that posts so many frequent shingles that it could be linked through them alone joins the
-    least node of each such list (lists that were not counted are taken as long).  This is one edge a posting, however long the list.
+    least node of each such list (lists that were not counted are taken as long), by way of the least node
+    of its part of the list.  This is one edge a posting, however long the list, and no task has a whole one.
 5.  Components of these candidate edges are *blocks*: a link never leaves its block.  Each set moves to its
     block once, and the block runs DivideSkip with union-find, leaving out pairs that are
     connected already.  A block of more than BLOCK_NODES nodes is cut into chunks, each a task of its
@@ -51,6 +52,8 @@ COUNTED = 0.5
 #: Posted beyond the plain prefix, as a share of the set.
 EXTRA = 0.05
 BLOCK_NODES = 1024
+#: Parts of a long list.
+SALTS = 64
 #: Bits of the filter that tells which texts are needed again; a fixed bound.
 FILTER_BITS = 1 << 26
 _REMEMBERED = 200_000
@@ -283,8 +286,12 @@ def _long_list_edges(nodes: DataFrame, percent: int) -> DataFrame:
     A partner has at least percent of the size, so at least that share of ``extra``, less one for rounding.
     """
     rich = nodes.where((F.col("n_often") > 0) & (F.col("n_often") >= F.floor(percent / 100 * F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * F.col("n")))) - 1))
-    lists = rich.select("node", F.explode(F.expr("slice(posted, size(posted) - cast(n_often as int) + 1, cast(n_often as int))")).alias("s"))
-    return lists.join(lists.groupBy("s").agg(F.min("node").alias("m")), "s").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+    lists = rich.select("node", F.explode(F.expr("slice(posted, size(posted) - cast(n_often as int) + 1, cast(n_often as int))")).alias("s")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    # a long list is dealt over SALTS parts: its nodes join the least of their part, and these the least of all
+    part = lists.groupBy("s", "salt").agg(F.min("node").alias("m"))
+    inside = lists.join(part, ["s", "salt"]).where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    across = part.join(part.groupBy("s").agg(F.min("m").alias("top")), "s").where("m <> top").select(F.col("m").alias("a"), F.col("top").alias("b"))
+    return inside.unionByName(across).distinct()
 
 
 class Block:
@@ -448,7 +455,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     live = rows.where(F.col(key).isNotNull() & (F.col("n") > 0))
     nodes = written(live.groupBy("fp", "n", "n_often").agg(F.min(F.col(key).cast("long")).alias("node"), F.first("posted").alias("posted")), "nodes")
     volume = nodes.agg(F.sum(F.size("posted"))).first()[0] or 0
-    edges = _short_list_pairs(nodes, percent, max(8, int(volume // 1_500_000))).unionByName(_long_list_edges(nodes, percent))
+    edges = _short_list_pairs(nodes, percent, max(8, int(volume // 500_000))).unionByName(_long_list_edges(nodes, percent))
     blocks = components(edges)
     sizes = blocks.groupBy("root").agg(F.count("*").alias("size"))
     wanted = written(blocks.join(sizes, "root").join(nodes.select("node", "fp"), "node").select("node", "fp", F.col("root").alias("block"), "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES)).alias("chunk")), "blocks")
