@@ -16,7 +16,7 @@ from quern import sample
 from quern.functions import markup, names, paths
 from quern.operators import ordered, ownership, state, trees
 from quern.plans import edits, markup_moves, planner, references, session
-from quern.sources.tables import parse_settings, render_settings
+from quern.sources.tables import decode_bodies, encode_bodies, parse_settings, render_settings
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -441,6 +441,41 @@ def ns_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in keys], "folder string")
 
 
+# ---- small relations -----------------------------------------------------------------------------
+@query(f"SELECT full_name, ns = 'Old.Util' AS direct FROM {R('type_decl_part')} WHERE {nested('ns', "'Old.Util'")}")
+def ns_subtree_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of a namespace, and of all below it."""
+    return sample.table(spark, "type_decl_part").where(names.nested_in(F.col("ns"), F.lit("Old.Util"))).select("full_name", (F.col("ns") == "Old.Util").alias("direct"))
+
+
+@query(f"SELECT path, {norm('name')} AS ns, NOT in_namespace AS own FROM {R('using_clause')} WHERE alias IS NULL AND NOT is_static")
+def ns_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clauses that import a namespace; ``own`` ones belong to the file and not to a namespace in it."""
+    return sample.table(spark, "using_clause").where("alias is null and not is_static").select("path", names.normal_using(F.col("name")).alias("ns"), (~F.col("in_namespace")).alias("own"))
+
+
+_ASKED = [("Old",), ("Old.Util",), ("Old.Util.Inner",), ("Old.Ut",), ("MyApp",), ("Nowhere",)]
+
+
+@query(f"SELECT a.ns, EXISTS (SELECT 1 FROM {R('type_decl_part')} t WHERE {nested('t.ns', 'a.ns')}) AS found FROM {sample.values(_ASKED, 'ns STRING')} a")
+def ns_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which namespaces exist. Types' namespaces are exploded into their prefixes, so it is an equi-join."""
+    there = sample.table(spark, "type_decl_part").select(F.explode(names.scope_prefixes(F.col("ns"))).alias("ns")).distinct().withColumn("found", F.lit(True))
+    return spark.createDataFrame(_ASKED, "ns string").join(there, "ns", "left").select("ns", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query(f"SELECT path, arg_min(name, start) AS first_name, arg_max(name, start) AS last_name, max(start + len) AS last_end FROM {R('using_clause')} GROUP BY 1")
+def ns_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last clause of a file, and where new ones go."""
+    return sample.table(spark, "using_clause").groupBy("path").agg(F.min_by("name", "start").alias("first_name"), F.max_by("name", "start").alias("last_name"), F.max(F.col("start") + F.col("len")).alias("last_end"))
+
+
+@query(f"SELECT path, encoding, body FROM {R('body')}")
+def ns_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies written in their encodings and read back."""
+    return decode_bodies(encode_bodies(sample.table(spark, "body")))
+
+
 # ---- trees -------------------------------------------------------------------------------------
 _NODES = [
     ("f.cs", 1, None, "unit", 0), ("f.cs", 2, 1, "ns", 5), ("f.cs", 3, 2, "ns", 20), ("f.cs", 4, 3, "class", 30), ("f.cs", 5, 4, "access", 40), ("f.cs", 6, 5, "access", 40), ("f.cs", 7, 6, "access", 40), ("f.cs", 8, 7, "name", 40),
