@@ -150,6 +150,12 @@ def move_class(body: str, source: str, name: str, target: str, path: str = "") -
     return drop_unused(body)
 
 
+def move_root(body: str, target: str, path: str = "") -> str:
+    """The body after its root class, the first one stated, has moved to a namespace."""
+    root = next((f for f in fragments(body) if f.kind == "class"), None)
+    return body if root is None or root.ns == target else move_class(body, root.ns, root.name, target, path)
+
+
 def scan(bodies: DataFrame) -> DataFrame:
     """FRAGMENT rows of (path, body)."""
 

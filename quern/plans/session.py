@@ -88,4 +88,5 @@ def run(facts: Facts, settings: Settings, project_file: str | None = None) -> Ou
     spans = rows.where("span_start is not null").select("path", F.col("span_start").alias("start"), F.col("span_len").alias("len"), "text")
     fresh = edits.using_spans(edits.new_usings(rows, facts["using_clause"]), facts["using_clause"], facts["body"])
     code_bodies = edits.apply(facts["body"], spans.unionByName(fresh))
-    return Outcome(found, rows, code_bodies.unionByName(markup_moves.move(facts["body"], moved)), code, said)
+    roots = found.where("outcome = 'plan' and is_xaml").select("path", "target_ns")
+    return Outcome(found, rows, code_bodies.unionByName(markup_moves.move(facts["body"], moved, roots=roots)), code, said)

@@ -41,6 +41,22 @@ def test_session_rewrites_texts(spark):
     assert "<!-- <old:Class1/> -->" in bodies[r"MyApp\Views\Main.xaml"]
 
 
+def test_root_class_moves_without_its_code(spark):
+    """The code behind is where it should be already; the markup of another project file has none."""
+    f = sample.facts(spark)
+    f.tables["namespace_decl"] = f["namespace_decl"].where(~F.col("path").endswith("Main.xaml.cs"))
+    f.tables["solution_file"] = f["solution_file"].unionByName(spark.createDataFrame([(sample.S + "MyApp\\Alone.xaml", "MyApp", sample.APP, 1, 0)], f["solution_file"].schema))
+    alone = '<Page x:Class="Old.Alone" xmlns:x="http://schemas.microsoft.com/winfx/2006/xaml" xmlns:l="clr-namespace:Old;assembly=Q"><l:Alone/></Page>'
+    f.tables["body"] = f["body"].unionByName(spark.createDataFrame([((sample.S + "MyApp\\Alone.xaml").upper(), "UTF-8", alone)], f["body"].schema))
+    out = session.run(f, sample.SETTINGS)
+    assert {r["path"].removeprefix(sample.S): (r["outcome"], r["target_ns"]) for r in out.scan.where("is_xaml and outcome = 'plan'").collect()} == {r"MyApp\Views\Main.xaml": ("plan", "MyApp.Views"), r"MyApp\Alone.xaml": ("plan", "MyApp")}
+    bodies = {r["path"].removeprefix(sample.S): r["body"] for r in out.bodies.collect()}
+    main = bodies[r"MyApp\Views\Main.xaml"]
+    assert 'x:Class="MyApp.Views.Main"' in main and "clr-namespace:MyApp.Sub.Deep;assembly=MyApp" in main  # the code moves are made too
+    moved = bodies[(sample.S + "MyApp\\Alone.xaml").upper()]
+    assert 'x:Class="MyApp.Alone"' in moved and '"clr-namespace:MyApp;assembly=Q"' in moved and "clr-namespace:Old;" not in moved and "<l:Alone" not in moved
+
+
 def test_errors_and_unmatched_roots_stop_a_run(spark):
     f = sample.facts(spark)
     f.tables["diagnostic"] = spark.createDataFrame([("MyApp", "Error", "CS0103")], "project_name string, severity string, message string")
