@@ -55,6 +55,14 @@ def alive_anywhere(alive: DataFrame) -> DataFrame:
     return alive.groupBy("path", "ns").agg(F.bool_or(F.coalesce("alive", F.lit(True))).alias("alive")).where("alive").select("path", "ns")
 
 
+def removed(types: DataFrame, moves: DataFrame) -> DataFrame:
+    """(full_name, ns) of the types that leave their namespace: all files that declare them by hand have moved them."""
+    hand = types.where(F.col("path").isNotNull() & ~is_generated(F.col("path"))).select("full_name", path_key(F.col("path")).alias("k")).distinct()
+    moved = moves.select("full_name", "ns", path_key(F.col("path")).alias("k")).distinct()
+    stay = hand.join(moved, ["full_name", "k"], "left_anti").select("full_name").distinct()
+    return moved.select("full_name", "ns").distinct().join(stay, "full_name", "left_anti")
+
+
 def emptied(types: DataFrame, moves: DataFrame) -> DataFrame:
     """Namespaces that held types before, lost some and hold none after a batch of moves.
 
@@ -62,17 +70,42 @@ def emptied(types: DataFrame, moves: DataFrame) -> DataFrame:
     namespace when all files that declare it by hand have moved it; it arrives in the new
     one with the first.  Set algebra over before, removed and added: no state, no order.
     """
-    hand = types.where(F.col("path").isNotNull() & ~is_generated(F.col("path"))).select("full_name", path_key(F.col("path")).alias("k")).distinct()
-    moved = moves.select("full_name", "ns", path_key(F.col("path")).alias("k")).distinct()
-    stay = hand.join(moved, ["full_name", "k"], "left_anti").select("full_name").distinct()
-    removed = moved.select("full_name", "ns").distinct().join(stay, "full_name", "left_anti")
+    gone = removed(types, moves)
     before = types_by_full_name(types).select("ns", "full_name")
     added = moves.select(F.col("target_ns").alias("ns"), moved_name(F.col("full_name"), F.col("ns"), F.col("target_ns")).alias("full_name"))
-    after = before.join(removed, ["ns", "full_name"], "left_anti").unionByName(added).select("ns").distinct()
-    lost = before.join(removed, ["ns", "full_name"], "left_semi").select("ns").distinct()
+    after = before.join(gone, ["ns", "full_name"], "left_anti").unionByName(added).select("ns").distinct()
+    lost = before.join(gone, ["ns", "full_name"], "left_semi").select("ns").distinct()
     return lost.join(after, "ns", "left_anti")
 
 
+def direct_types(asked: DataFrame, document: DataFrame, types: DataFrame, moves: DataFrame, refs: DataFrame) -> DataFrame:
+    """(path, ns, has_direct_type) for each asked (path, ns) of a touched namespace, one row per compilation of the file, after the moves.
+
+    A compilation sees the types that it has rows of, and those of the compilations it refers to: its files name a
+    type of theirs that it does not have itself.  If none of these had the namespace before, it is not known how
+    the clause is resolved, and it counts as filled.
+    """
+    touched = moves.select("ns").distinct()
+    named = moves.select("full_name", "ns", "target_ns", path_key(F.col("path")).alias("k")).distinct()
+    docs = document.where("path is not null").select(path_key(F.col("path")).alias("k"), "project_id").distinct()
+    top = types.where("containing_type is null").select("project_id", "ns", "full_name", path_key(F.col("path")).alias("k"), F.coalesce(is_generated(F.col("path")), F.lit(False)).alias("made"), F.coalesce("from_metadata", F.lit(False)).alias("fixed"))
+    inside = top.join(touched, "ns", "left_semi")
+    left = inside.join(named.select("full_name", "ns", "k").distinct().withColumn("went", F.lit(True)), ["full_name", "ns", "k"], "left").join(removed(types, moves).withColumn("all_went", F.lit(True)), ["full_name", "ns"], "left")
+    stays = left.where(F.col("fixed") | ~(F.coalesce("went", F.lit(False)) | (F.col("made") & F.coalesce("all_went", F.lit(False))))).select("project_id", "ns")
+    come = top.join(named, ["full_name", "ns", "k"]).select("project_id", F.col("target_ns").alias("ns"))
+    used = refs.select(path_key(F.col("path")).alias("k"), "type_full").distinct().join(docs, "k").select("project_id", F.col("type_full").alias("full_name")).distinct()
+    own = types.select("project_id", "full_name").distinct()
+    far = used.join(own, ["project_id", "full_name"], "left_anti").join(own.withColumnRenamed("project_id", "seen_id"), "full_name").select("project_id", "seen_id")
+    sees = far.unionByName(docs.select("project_id", F.col("project_id").alias("seen_id"))).distinct()
+
+    def seen(rows: DataFrame, name: str) -> DataFrame:
+        return sees.join(rows.select(F.col("project_id").alias("seen_id"), "ns").distinct(), "seen_id").select("project_id", "ns").distinct().withColumn(name, F.lit(True))
+
+    q = asked.select("path", "ns", path_key(F.col("path")).alias("k")).distinct().join(touched, "ns", "left_semi").join(docs, "k")
+    q = q.join(seen(inside, "known"), ["project_id", "ns"], "left").join(seen(stays.unionByName(come), "filled"), ["project_id", "ns"], "left")
+    return q.select("path", "ns", (F.col("filled").isNotNull() | F.col("known").isNull()).alias("has_direct_type"))
+
+
 def gone_for_file(using: DataFrame, touched: DataFrame, direct: DataFrame) -> DataFrame:
     """(path, ns) of touched namespaces without direct types in any compilation of the file.
 

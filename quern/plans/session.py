@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import normal_using
 from quern.functions.paths import path_key
 from quern.model import Facts, Settings
 from quern.operators.ownership import below_roots, file_projects, unmatched_roots
-from quern.operators.state import alive_anywhere, alive_outside, dead_usings, emptied
+from quern.operators.state import alive_anywhere, alive_outside, dead_usings, direct_types, emptied, gone_for_file
 from quern.plans import edits, markup_moves, planner, references
 
 #: What a run returns to the shell.
@@ -65,7 +66,15 @@ def all_edits(found: DataFrame, facts: Facts, settings: Settings) -> tuple[DataF
     old = alive_anywhere(alive_outside(asked, facts["type_decl_part"])).select("path", F.lit("add_using").alias("kind"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_len"), F.col("ns").alias("text"), F.lit(0).alias("at"))
     rows = edits.edit_set(ref.unionByName(own).unionByName(old))
     names = edits.rename_spans(facts["namespace_decl"], moves).select("path", F.lit("move_namespace").alias("kind"), F.col("start").alias("span_start"), F.col("len").alias("span_len"), "text", F.col("start").alias("at"))
-    dead = dead_usings(facts["using_clause"], emptied(facts["type_decl_part"], types)).select("path", "kind", "span_start", "span_len", "text", F.col("span_start").alias("at"))
+    # clauses written by this run are cleaned up like those that were there
+    added = rows.where("kind = 'add_using'").select("path", F.col("text").alias("name"))
+    clauses = facts["using_clause"].select("path", "name").unionByName(added).distinct()
+    direct = direct_types(clauses.select("path", normal_using(F.col("name")).alias("ns")), facts["document"], facts["type_decl_part"], types, facts["name_ref"])
+    gone = gone_for_file(clauses, types, direct)
+    empty = emptied(facts["type_decl_part"], types)
+    lost = added.join(empty.select(F.col("ns").alias("name")), "name", "left_semi").select("path", "name").unionByName(added.join(gone.withColumnRenamed("ns", "name"), ["path", "name"], "left_semi").select("path", "name")).distinct()
+    rows = rows.join(lost.select("path", F.col("name").alias("text"), F.lit("add_using").alias("kind")), ["path", "text", "kind"], "left_anti").select(*rows.columns)
+    dead = dead_usings(facts["using_clause"], empty, gone).select("path", "kind", "span_start", "span_len", "text", F.col("span_start").alias("at"))
     return rows.unionByName(names).unionByName(dead), moved
 
 

@@ -57,6 +57,28 @@ def test_root_class_moves_without_its_code(spark):
     assert 'x:Class="MyApp.Alone"' in moved and '"clr-namespace:MyApp;assembly=Q"' in moved and "clr-namespace:Old;" not in moved and "<l:Alone" not in moved
 
 
+def test_using_of_a_namespace_that_only_another_project_fills(spark):
+    """Class1 leaves Legacy for the project's folder; App sees no other type of it, Near sees Lib's, which stays."""
+    from quern.model import SCHEMAS, Facts
+
+    app, lib, near = "c:\\s\\App\\App.csproj", "c:\\s\\Lib\\Lib.csproj", "c:\\s\\Near\\Near.csproj"
+    files = [("c:\\s\\App\\Class1.cs", "app", app), ("c:\\s\\App\\Use.cs", "app", app), ("c:\\s\\Lib\\Class2.cs", "lib", lib), ("c:\\s\\Near\\Use.cs", "near", near)]
+    types = [(files[0][0], "app", "Legacy", "Class1"), (files[1][0], "app", "App", "Use"), (files[2][0], "lib", "Legacy", "Class2"), (files[3][0], "near", "Near", "Use")]
+    ref = lambda at, name: (at, 40, 6, name, f"Legacy.{name}", "Legacy", "NamedType", "other", "App", None, None, None, False, None, False)
+    rows = {
+        "solution_file": [(p, i, f, 0, 0) for p, i, f in files], "document": [(p, i, i, f, "C#", True) for p, i, f in files],
+        "default_ns": [(app, "App", 1), (lib, "Legacy", 1), (near, "Near", 1)], "namespace_decl": [(p, i, 1, [ns], False, 10, len(ns), 1) for p, i, ns, _ in types],
+        "type_decl_part": [(p, i, ns, name, f"{ns}.{name}", None, "class", 1, False, 1) for p, i, ns, name in types],
+        "using_clause": [(files[1][0], "Legacy", None, False, False, 0, 13), (files[3][0], "Legacy", None, False, False, 0, 13)],
+        "name_ref": [ref(files[1][0], "Class1"), ref(files[3][0], "Class1"), ref(files[3][0], "Class2")],
+    }
+    facts = Facts(spark, {name: spark.createDataFrame(r, SCHEMAS[name]) for name, r in rows.items()})
+    found = spark.createDataFrame([(1, files[0][0], "plan", "App", False)], "seq long, path string, outcome string, target_ns string, is_xaml boolean")
+    edits, _ = session.all_edits(found, facts, Settings())
+    got = {(r["path"], r["kind"], r["text"]) for r in edits.collect()}
+    assert got == {(files[0][0], "move_namespace", "App"), (files[3][0], "add_using", "App"), (files[1][0], "add_using", "App"), (files[1][0], "delete_using", "")}
+
+
 def test_errors_and_unmatched_roots_stop_a_run(spark):
     f = sample.facts(spark)
     f.tables["diagnostic"] = spark.createDataFrame([("MyApp", "Error", "CS0103")], "project_name string, severity string, message string")
