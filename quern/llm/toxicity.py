@@ -267,7 +267,10 @@ def distinct_words(text: str | None) -> set[str]:
 
 
 def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, most: int = 400) -> dict[str, float]:
-    """Greedy cover: term after term, the one that explains most toxic texts not yet explained, if it is rare in clean ones."""
+    """Greedy cover: term after term, the one that explains most toxic texts not yet explained, if it is rare in clean ones.
+
+    At most ``most`` terms, and the whole words that the stems among them hold.
+    """
     n = max(1, len(toxic))
     df = Counter(t for x in toxic for t in x)
     odds = {t: np.log(((c + 0.5) / (n + 1)) / ((clean_df.get(t, 0) + 0.5) / (n_clean + 1))) for t, c in df.items()}
@@ -277,6 +280,7 @@ def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, most:
         for t in x & good:
             left.setdefault(t, set()).add(i)
     out: dict[str, float] = {}
+    held: set[str] = set()
     covered: dict[int, int] = Counter()
     while left and len(out) < most:
         # a text counts until eight terms explain it; whole words go before stems, longer stems before shorter ones
@@ -288,7 +292,8 @@ def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, most:
         for i in docs:
             covered[i] += 1
         full = {i for i in docs if covered[i] >= 8}
-        if t[-1] == "*":  # what a chosen stem holds needs no entry of its own
+        if t[-1] == "*":  # what a chosen stem holds explains nothing more
+            held.update(u for u in good if u[-1] != "*" and u.startswith(t[:-1]))
             for u in [u for u in left if u.startswith(t[:-1])]:
                 left.pop(u)
         if full:
@@ -296,7 +301,8 @@ def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, most:
                 left[u] -= full
                 if not left[u]:
                     del left[u]
-    return out
+    # stems match as they are written only; the words they hold stay terms, so that misspellings are near these
+    return out | {u: float(min(6.0, odds[u])) for u in sorted(held - out.keys())}
 
 
 def _sample(labels: DataFrame, key: str, label: str, value: int, most: int) -> DataFrame:
@@ -392,7 +398,7 @@ def apply(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
 
 def _share(docs: DataFrame, model: ToxicityModel):
-    """The model, of at most a few hundred terms and near words of a bounded sample, for the tasks."""
+    """The model, of a few hundred chosen terms, the words that their stems hold and the near words of a bounded sample, for the tasks."""
     return docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.benign, model.weights))
 
 

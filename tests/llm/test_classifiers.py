@@ -118,3 +118,13 @@ def test_the_risk_is_not_negative():
     inner = ((1 + u @ w) ** 2).mean() / 4 - 0.9 * ((1 + p @ w) ** 2).mean() / 4
     assert np.isfinite(w).all()
     assert inner > -0.05
+
+
+def test_words_of_a_chosen_stem_stay_terms():
+    toxic = [toxicity.terms_of({"idiot"})] * 100 + [toxicity.terms_of({"idiots"})] * 10 + [toxicity.terms_of({"idiotic"})] * 10
+    chosen = toxicity.choose(toxic, {}, 500)
+    assert any(t[-1] == "*" and "idiot".startswith(t[:-1]) for t in chosen)
+    lexicon = toxicity.Lexicon({t: (w, w) for t, w in chosen.items() if t[-1] != "*"}, {t[:-1]: w for t, w in chosen.items() if t[-1] == "*"})
+    assert {"idiot", "idiots", "idiotic"} <= lexicon.words.keys()
+    for w in ("diiot", "1d10t", "ldiot", "diiots"):
+        assert lexicon.look_up(w)[0] == "near", w
