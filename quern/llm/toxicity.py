@@ -266,15 +266,18 @@ def distinct_words(text: str | None) -> set[str]:
     return {n for w in set((text or "").lower().split()) if (n := normal(w)) and len(n) > 2 and not n.isdigit()}
 
 
-def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, most: int = 400) -> dict[str, float]:
+def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, most: int = 400, max_terms: int = 60_000) -> dict[str, float]:
     """Greedy cover: term after term, the one that explains most toxic texts not yet explained, if it is rare in clean ones.
 
-    At most ``most`` terms, and the whole words that the stems among them hold.
+    Of more than ``max_terms`` terms that pass the test, those with the highest odds are candidates.
+    At most ``most`` terms are chosen, and the whole words that the stems among them hold.
     """
     n = max(1, len(toxic))
     df = Counter(t for x in toxic for t in x)
     odds = {t: np.log(((c + 0.5) / (n + 1)) / ((clean_df.get(t, 0) + 0.5) / (n_clean + 1))) for t, c in df.items()}
     good = {t for t, c in df.items() if c >= 3 and odds[t] >= 2.5 and clean_df.get(t, 0) <= 0.1 * c}
+    if len(good) > max_terms:
+        good = set(sorted(good, key=lambda t: (-odds[t], -df[t], t))[:max_terms])
     left: dict[str, set[int]] = {}
     for i, x in enumerate(toxic):
         for t in x & good:
@@ -310,7 +313,7 @@ def _sample(labels: DataFrame, key: str, label: str, value: int, most: int) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 4000, max_clean: int = 12000, max_terms: int = 60_000) -> ToxicityModel:
-    """Learn from the labels of the training fold; bounded by max_toxic and max_clean rows, of which max_terms candidate terms.
+    """Learn from the labels of the training fold; bounded by max_toxic and max_clean rows, and max_terms terms that are rare in clean ones.
 
     Null labels and keys are ignored, of several labels of a key the larger counts.  Without
     toxic rows the lexicon is empty, and every score is small.
@@ -328,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # the set of distinct words of at most max_toxic texts
     toxic = [terms_of(set(r["words"])) for r in train.where((F.col("y") == 1) & F.col("first")).select(text).mapInArrow(words_of, "words array<string>").toLocalIterator()]
     df = Counter(t for x in toxic for t in x)
-    candidates = frozenset(t for t, c in df.most_common(max_terms) if c >= 3)
+    candidates = frozenset(t for t, c in df.items() if c >= 3)
     toxic = [x & candidates for x in toxic]
     exact = [t for t in candidates if t[-1] != "*"]
     sc = docs.sparkSession.sparkContext
@@ -348,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     clean = train.where((F.col("y") == 0) & F.col("first")).select(text)
     clean_df = {r["term"]: r["n"] for r in clean.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     n_clean = clean_df.pop("\0", 0)
-    chosen = choose(toxic, clean_df, n_clean)
+    chosen = choose(toxic, clean_df, n_clean, max_terms=max_terms)
     words = {t: w for t, w in chosen.items() if t[-1] != "*"}
     draft = Lexicon({t: (w, w) for t, w in words.items()}, {t[:-1]: w for t, w in chosen.items() if t[-1] == "*"})
     drafted = sc.broadcast((draft.words, draft.stems))

@@ -128,3 +128,10 @@ def test_words_of_a_chosen_stem_stay_terms():
     assert {"idiot", "idiots", "idiotic"} <= lexicon.words.keys()
     for w in ("diiot", "1d10t", "ldiot", "diiots"):
         assert lexicon.look_up(w)[0] == "near", w
+
+
+def test_common_words_do_not_displace_rare_toxic_terms():
+    toxic = [{"the", "and", "with"} | ({"idiot"} if i < 5 else set()) for i in range(50)]
+    clean = {"the": 500, "and": 500, "with": 400}
+    assert toxicity.choose(toxic, clean, 500, max_terms=1).keys() == {"idiot"}
+    assert toxicity.choose([{"moron", "idiot"}] * 9 + [{"idiot"}] * 9, {"idiot": 1}, 500, max_terms=1).keys() == {"moron"}
