@@ -365,17 +365,20 @@ class Block:
 
 
 def solve_groups(group: pa.Table, percent: int) -> pa.Table:
-    """Rows (block, node, set) of one task's blocks -> (node, root)."""
-    blocks: dict[int, dict[int, np.ndarray]] = {}
-    for block, node, raw in zip(*(group.column(c).to_pylist() for c in ("block", "node", "shingles")), strict=True):
-        blocks.setdefault(block, {})[node] = np.frombuffer(raw, np.uint64)
+    """Rows (block, node, fp, set) of one task's blocks -> (node, root).  Sets of one node, of a key with several texts, are joined."""
+    blocks: dict[int, dict[tuple[int, bytes], np.ndarray]] = {}
+    for block, node, fp, raw in zip(*(group.column(c).to_pylist() for c in ("block", "node", "fp", "shingles")), strict=True):
+        blocks.setdefault(block, {})[node, fp] = np.frombuffer(raw, np.uint64)
     nodes, roots = [], []
     for members in blocks.values():
         ids = sorted(members)
         if len(ids) > 1:
-            found = Block([members[i] for i in ids]).solve(percent)
-            nodes += ids
-            roots += [ids[r] for r in found]
+            block = Block([members[i] for i in ids])
+            for x in range(1, len(ids)):
+                if ids[x][0] == ids[x - 1][0]:
+                    block.join(x - 1, x)
+            nodes += [i[0] for i in ids]
+            roots += [ids[r][0] for r in block.solve(percent)]
     return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(roots, pa.int64())})
 
 
@@ -421,7 +424,7 @@ def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks:
     # the least node of a block is its name; a large block's goes to all its chunks
     at = F.explode(F.when(large & (F.col("node") == F.col("block")), upto(chunks)).otherwise(F.array("chunk")))
     task = F.when(large, F.xxhash64("block", "at")).otherwise(F.pmod(F.xxhash64("block"), F.lit(tasks)))
-    first = sets_of(wanted).withColumn("at", at).select(task.alias("task"), "block", "node", "shingles")
+    first = sets_of(wanted).withColumn("at", at).select(task.alias("task"), "block", "node", "fp", "shingles")
     step = written(first.groupBy("task").applyInArrow(solve, "node long, root long"), "links")
     links = step.select(F.col("node").alias("a"), F.col("root").alias("b"))
     big = wanted.where(large)
@@ -435,12 +438,12 @@ def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks:
     placed = written(placed.join(rest, "block").withColumns({"groups": F.ceil(F.col("rest") / BLOCK_NODES).cast("long"), "chunks": chunks}), "large-blocks")
     if placed.isEmpty():
         return links
-    whole = sets_of(placed.select("node", "fp", "block", "size", "chunk")).select("node", "shingles").join(placed.select("node", "block", "chunk", "apart", "groups", "chunks"), "node")
+    whole = sets_of(placed.select("node", "fp", "block", "size", "chunk")).select("node", "fp", "shingles").join(placed.select("node", "fp", "block", "chunk", "apart", "groups", "chunks"), ["node", "fp"])
     group = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("groups"))
     # a node apart goes, with its group, to every chunk of its block; every node goes, with its chunk, to every group
     asked = F.when(F.col("apart"), F.transform(upto(F.col("chunks")), lambda j: F.struct(group.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
     met = F.transform(upto(F.col("groups")), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
-    both = whole.withColumn("to", F.explode(F.array_distinct(F.concat(asked, met)))).select(F.xxhash64("block", "to.i", "to.j").alias("task"), "block", "node", "shingles")
+    both = whole.withColumn("to", F.explode(F.array_distinct(F.concat(asked, met)))).select(F.xxhash64("block", "to.i", "to.j").alias("task"), "block", "node", "fp", "shingles")
     last = written(both.groupBy("task").applyInArrow(solve, "node long, root long"), "links")
     return links.unionByName(last.select(F.col("node").alias("a"), F.col("root").alias("b")))
 

@@ -94,3 +94,14 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).count() == 0
+
+
+def test_a_key_with_two_texts_keeps_both():
+    import pyarrow as pa
+
+    sets = [np.arange(a, a + 40, dtype=np.uint64) for a in (0, 1, 500, 501)]
+    rows = [(1, 1, sets[0]), (1, 1, sets[2]), (1, 2, sets[1]), (1, 3, sets[3])]
+    for order in (rows, rows[::-1]):
+        group = pa.table({"block": [r[0] for r in order], "node": [r[1] for r in order], "fp": [jaccard.fingerprint(r[2]) for r in order], "shingles": [r[2].tobytes() for r in order]})
+        got = jaccard.solve_groups(group, 85)
+        assert set(zip(got.column("node").to_pylist(), got.column("root").to_pylist(), strict=True)) == {(1, 1), (2, 1), (3, 1)}
