@@ -395,7 +395,7 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """(node, fp, shingles) of the wanted nodes' texts: read again where they are, only what passes the filter leaves."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    slim = docs.select(F.col(f"`{key}`").alias("node"), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(FILTER_BITS)).alias("at"), F.col(f"`{text}`").alias("text")).where("node is not null")
+    slim = docs.select(F.col(f"`{key}`").alias("node"), F.pmod(F.xxhash64(F.col(f"`{key}`").cast("long")), F.lit(FILTER_BITS)).alias("at"), F.col(f"`{text}`").alias("text")).where("node is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value

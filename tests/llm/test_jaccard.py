@@ -105,3 +105,9 @@ def test_a_key_with_two_texts_keeps_both():
         group = pa.table({"block": [r[0] for r in order], "node": [r[1] for r in order], "fp": [jaccard.fingerprint(r[2]) for r in order], "shingles": [r[2].tobytes() for r in order]})
         got = jaccard.solve_groups(group, 85)
         assert set(zip(got.column("node").to_pylist(), got.column("root").to_pylist(), strict=True)) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_candidate_sets_of_an_int_key(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(6)], "doc_id int, text string")
+    wanted = spark.createDataFrame([(i, bytearray(jaccard.fingerprint(jaccard.shingle_set(f"a b c d e f{i}".encode()))), 0, 6, 0) for i in range(6)], "node long, fp binary, block long, size long, chunk long")
+    assert jaccard._candidate_sets(docs, wanted, "doc_id", "text").count() == 6
