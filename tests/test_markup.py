@@ -83,3 +83,15 @@ def test_moves_as_relations(spark):
     moved = spark.createDataFrame([("A.B", "Class1", "X.Y")], "source_ns string, class_name string, target_ns string")
     got = {r["path"]: r["body"] for r in markup_moves.move(bodies, moved).collect()}
     assert got == {"m.xaml": markup.move_class(doc("<a:Class1/>"), "A.B", "Class1", "X.Y", "m.xaml")}
+
+
+def test_root_class_moves_as_relations(spark):
+    bodies = spark.createDataFrame([("M.xaml", "UTF-8", doc("<a:Class1/>")), ("n.xaml", "UTF-8", doc("")), ("e.xaml", "UTF-8", "")], "path string, encoding string, body string")
+    moved = spark.createDataFrame([("A.B", "Class1", "X.Y"), ("Root", "Main", "Other")], "source_ns string, class_name string, target_ns string")
+    roots = spark.createDataFrame([("m.xaml", "Z.W"), ("e.xaml", "Z.W")], "path string, target_ns string")
+    got = {r["path"]: r["body"] for r in markup_moves.move(bodies, moved, roots=roots).collect()}
+    assert got.keys() == {"M.xaml", "n.xaml"}
+    assert 'x:Class="Z.W.Main"' in got["M.xaml"] and "clr-namespace:X.Y" in got["M.xaml"]  # its own target wins over the code's
+    assert 'x:Class="Other.Main"' in got["n.xaml"]
+    alone = {r["path"]: r["body"] for r in markup_moves.move(bodies, moved.limit(0), roots=roots).collect()}
+    assert alone == {"M.xaml": doc("<a:Class1/>", cls="Z.W.Main")}
