@@ -40,6 +40,8 @@ def _token_lengths(enc: Encoder) -> np.ndarray:
     out = np.zeros(enc.size, np.int64)
     for token, i in enc.tokenizer.get_vocab(with_added_tokens=False).items():
         out[i] = len(token)
+    for i, token in enc.tokenizer.get_added_tokens_decoder().items():  # these stand for their own strings
+        out[i] = len(token.content.encode())
     return out
 
 

@@ -13,6 +13,9 @@ A piece met for the first time is cut further where the file's pattern does so i
 single line breaks, before last marks), and what is a word of letters alone goes to the bare
 merging model of the file: the pattern has nothing to cut there.  For any other file,
 ``Encoder`` encodes whole texts.
+
+The library reads the string of an added token (``<|endoftext|>``, say) inside a text as that token,
+also with ``add_special_tokens=False``, and so does ``Encoder``: a text is cut at these strings first.
 """
 
 from __future__ import annotations
@@ -69,14 +72,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         steps = [x.get("type") for x in norm.get("normalizers", [])]
+        added = spec.get("added_tokens") or []
+        self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in added}
+        # where one string begins another, the longer is meant
+        self.added_in = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        verbatim = not any(x.get(k) for x in added for k in ("normalized", "lstrip", "rstrip", "single_word"))
         self.kind = "bytes" if pre.get("type") == "ByteLevel" and not norm and pre.get("use_regex") and not pre.get("add_prefix_space") else "words" if steps == ["NFC", "Replace", "Lowercase"] and (spec["model"].get("end_of_word_suffix") == "</w>") else "whole"
+        if not verbatim:
+            self.kind = "whole"
         self.size = self.tokenizer.get_vocab_size()
         if self.kind != "whole":
+            # between added tokens: a text that is lowered to their string does not hold it
+            self.between = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
             bare = spec | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding")) | {"added_tokens": []}
             self.plain = Tokenizer.from_str(json.dumps(bare))
         self.first = _Known(lambda p: self._make(p, "", self.first))
@@ -95,24 +106,29 @@ class Encoder:
             lines = piece.split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                 return self.first["\n"].join([own[lines[0]], *(self.first[x] for x in lines[1:])])
-        return self._ids(self.tokenizer, blank + piece)
+        return self._ids(self.between, blank + piece)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids, as unsigned 32-bit numbers, without special tokens."""
+        """The ids, as unsigned 32-bit numbers, without special tokens around them."""
         if not text:
             return np.empty(0, np.uint32)
+        if self.kind == "whole":
+            return np.frombuffer(self._ids(self.tokenizer, text), np.uint32)
+        if self.added_in and self.added_in.search(text):
+            return np.frombuffer(b"".join(self.added.get(part) or self._between(part) for part in self.added_in.split(text) if part), np.uint32)
+        return np.frombuffer(self._between(text), np.uint32)
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text, or of what lies between added tokens."""
         if self.kind == "bytes":
             if _BLANKS.search(text):
-                parts = [self.spaced[p[1:]] if p[0] == " " and len(p) > 1 else self.first[p] for p in _CUT.split(text) if p]
-            else:
-                head, *rest = text.split(" ")
-                parts = [self.first[head]] if head else []
-                parts += map(self.spaced.__getitem__, rest)
-            return np.frombuffer(b"".join(parts), np.uint32)
+                return b"".join(self.spaced[p[1:]] if p[0] == " " and len(p) > 1 else self.first[p] for p in _CUT.split(text) if p)
+            head, *rest = text.split(" ")
+            return b"".join([*([self.first[head]] if head else []), *map(self.spaced.__getitem__, rest)])
         if self.kind == "words":
             low = text.lower()
             # a last sigma is lowered by its place in a word, and a lowered text need not be normal: leave those to the library
             if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
                 pieces = [p.decode("utf-8", "surrogatepass") for p in low.encode("utf-8", "surrogatepass").split()] if not low.isascii() else re.split(r"[ \t\n\r\x0b\x0c]+", low.strip(" \t\n\r\x0b\x0c"))
-                return np.frombuffer(b"".join(map(self.first.__getitem__, filter(None, pieces))), np.uint32)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                return b"".join(map(self.first.__getitem__, filter(None, pieces)))
+        return self._ids(self.between, text)

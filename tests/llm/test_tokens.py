@@ -17,7 +17,6 @@ def plain(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -25,8 +24,8 @@ def plain(path):
 def test_ids_are_those_of_whole_texts(path):
     rng = random.Random(1)
     want, enc = plain(path), encoder(path)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "<|endoftext|>", " 's", "'t", "1", "\x1c", " ", "　", "Σ", "ά", "\r\n", "!", "日本", "🙂", "́", "\x85", "ǅ", ",", ".\n", "word,", "İ", "\nNext", "'ll", "word!!", "½", "_", "||"]
-    for _ in range(4000):
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", " 's", "'t", "1", "\x1c", " ", "　", "Σ", "ά", "\r\n", "!", "日本", "🙂", "́", "\x85", "ǅ", ",", ".\n", "word,", "İ", "\nNext", "'ll", "word!!", "½", "_", "||"]
+    for _ in range(8000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         assert enc.encode(text).tolist() == want(text), repr(text)
 
@@ -125,7 +124,6 @@ def plain_attribution(path, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     raw = text.encode()
     owner, line = [], 0
     for k, byte in enumerate(raw):
@@ -133,7 +131,7 @@ def plain_attribution(path, text):
         line += byte == 10 and k + 1 < len(raw)
     counts = [0] * (line + 1)
     at = 0
-    for token in t.encode(text, add_special_tokens=False).tokens:
+    for token in t.encode(text, add_special_tokens=False).tokens:  # letters that stand for bytes, or an added token itself
         held = owner[at : at + len(token)]
         at += len(token)
         counts[max(sorted(set(held)), key=held.count)] += 1
@@ -143,7 +141,7 @@ def plain_attribution(path, text):
 
 def test_attribution(spark):
     rng = random.Random(3)
-    texts = ["".join(rng.choice(("a", "word ", "\n", "\n\n\n", " \n ", "é", "日本", "🙂", "\t")) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    texts = ["".join(rng.choice(("a", "word ", "<|endoftext|>", "<|startoftext|>\n", "\n", "\n\n\n", " \n ", "é", "日本", "🙂", "\t")) for _ in range(rng.randint(1, 60))) for _ in range(200)]
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(900, None, None, None, None), (901, "", None, None, None)]
     got: dict = {}
     for r in attribution.section_tokens(odd(frame(spark, rows)), BYTES).orderBy("doc_id", "section").collect():
