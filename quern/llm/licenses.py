@@ -4,10 +4,15 @@ Templates are word sequences: short phrases, which must stand whole, and longer
 which may be altered here and there.  Every rolling word k-gram of a text is hashed and
 joined (in Spark) to the template positions of the same hash.  A match of text position p
 with template position q votes for the diagonal ``p - q``; votes are counted per text,
-template and diagonal.  Diagonals of one template that lie close together are one
-occurrence with words put in or left out, and are merged.  A merged group becomes a
-span, which is verified: a phrase must have all its grams on one diagonal, a notice enough
-of its grams; the score is the share of them.
+template and diagonal.  A phrase has all its grams on one diagonal.  For a notice, neighbouring
+diagonals (a band of ``drift + 1``) are one candidate, with words put in or left out.
+
+A candidate is verified by aligning it: of the matches in its band, the longest chain that moves
+forward in the text and in the template.  Template positions hit twice count once there, and
+words in another order do not count.  ``share`` is the chain's length over the
+template's grams.  Since a chain stays in its band, its span is at most ``drift`` words longer
+than the template, however often parts of the notice repeat around it.  Of overlapping spans of
+one template the best stays, of equals the first.
 
 The texts stay where they are.  Before grams become rows, those whose hash is of no
 template are left out (a semi-join against the templates, which are a parameter of bounded
@@ -16,12 +21,13 @@ size), since an inner join would drop them anyway.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,12 +79,85 @@ def _hash(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
     return np.where(all_known, code, 0)
 
 
+def longest_chain(band: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+    """Of the matches (p, q) on the diagonals [(d, [q, ...])], the longest chain that grows in both; the first such by its ends."""
+    matches = sorted(((q, -(d + q)) for d, qs in band for q in qs))  # of one q the latest p first, so that a chain takes one of them
+    ends: list[int] = []  # least p that ends a chain of each length
+    at: list[int] = []  # which match that is
+    before = [-1] * len(matches)
+    for i, (_, minus_p) in enumerate(matches):
+        k = bisect_left(ends, -minus_p)
+        before[i] = at[k - 1] if k else -1
+        if k == len(ends):
+            ends.append(-minus_p)
+            at.append(i)
+        else:
+            ends[k], at[k] = -minus_p, i
+    chain, i = [], at[-1] if at else -1
+    while i >= 0:
+        chain.append((-matches[i][1], matches[i][0]))
+        i = before[i]
+    return chain[::-1]
+
+
+class Best:
+    """Verified spans of rows (row, template, diagonal, positions) that come in that order; holds one band at a time."""
+
+    def __init__(self, sizes: dict[int, tuple[int, int]], drift: int, least_share: float) -> None:
+        self.sizes, self.drift, self.least_share = sizes, drift, least_share
+        self.of: tuple[int, int] | None = None
+        self.band: list[tuple[int, list[int]]] = []
+        self.open: tuple[float, int, int] | None = None  # (share, first, last)
+        self.out: list[tuple] = []
+
+    def add(self, row: int, template: int, d: int, q: list[int]) -> None:
+        if (row, template) != self.of:
+            self.close()
+            self.of = row, template
+        words, grams = self.sizes[template]
+        width = band_width(words, self.drift)
+        self.band = [x for x in self.band if x[0] >= d - width]
+        self.band.append((d, q))
+        if len(set().union(*(x[1] for x in self.band))) < self.least_share * grams:
+            return
+        chain = longest_chain(self.band)
+        share = len(chain) / grams
+        if share >= self.least_share:
+            new = share, chain[0][0], chain[-1][0] + GRAM - 1
+            if self.open and new[1] > self.open[2]:
+                self._hand_out()
+            if not self.open or share > self.open[0]:
+                self.open = new
+
+    def _hand_out(self) -> None:
+        share, first, last = self.open
+        self.out.append((*self.of, first, last, share))
+        self.open = None
+
+    def close(self) -> None:
+        if self.open:
+            self._hand_out()
+        self.band = []
+
+    def spans(self) -> pa.RecordBatch:
+        columns = list(zip(*self.out, strict=True)) or [()] * 5
+        self.out = []
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row_id", "template", "first", "last", "share"])
+
+
+def band_width(words: int, drift: int) -> int:
+    """Words that may be put in or left out; fewer in short templates."""
+    return min(drift, (words - 1) // 2)
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, key: str = "doc_id", text: str = "text", drift: int = 3, least_share: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(rows, spans).
 
     rows: key, ``row_id``, ``n_words`` for every input row.  spans: ``row_id``, ``template``, ``label``,
     ``exact``, ``first``, ``last`` (word positions, inclusive) and ``share``.  row_id tells
-    repeated or null keys apart.  Null and empty texts have no words and no spans.
+    repeated or null keys apart.  Null and empty texts have no words and no spans; an empty table gives two
+    empty ones.  Texts of any length are read whole; a text's matches are worked on a band at a time.
     """
     spark = docs.sparkSession
     words_of = [split_alnum(t.text.encode()) for t in templates]
@@ -117,19 +196,31 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, k
 
     votes = rows.where(F.size("p") > 0).select("row_id", F.explode(F.arrays_zip("p", "gram")).alias("m")).select("row_id", F.col("m.p").alias("p"), F.col("m.gram").alias("gram"))
     on_diagonal = votes.join(F.broadcast(positions), "gram").withColumn("d", F.col("p") - F.col("q"))  # template positions: at most MOST_TEMPLATE_WORDS
-    diagonals = on_diagonal.groupBy("row_id", "template", "d").agg(F.countDistinct("q").alias("votes"), F.min("q").alias("q0"), F.max("q").alias("q1")).join(F.broadcast(facts), "template")
-    # a phrase stands whole on one diagonal; the diagonals of a notice are merged with their neighbours
-    whole = diagonals.where(F.col("exact") & (F.col("votes") == F.col("n_grams"))).select("row_id", "template", "label", "exact", F.col("d").alias("first"), (F.col("d") + F.col("n_template") - 1).alias("last"), F.lit(1.0).alias("share"))
-    order = Window.partitionBy("row_id", "template").orderBy("d")
-    near = diagonals.where(~F.col("exact")).withColumn("new", F.coalesce((F.col("d") - F.lag("d").over(order) > F.least(F.lit(drift), F.floor((F.col("n_template") - 1) / 2))).cast("int"), F.lit(1)))
-    merged = near.withColumn("run", F.sum("new").over(order)).groupBy("row_id", "template", "label", "exact", "run", "n_grams").agg(F.sum("votes").alias("votes"), F.min(F.col("d") + F.col("q0")).alias("first"), F.max(F.col("d") + F.col("q1") + (GRAM - 1)).alias("last"), F.max("n_template").alias("n_template"))
-    # verified: enough grams, within a span not much longer than the template
-    kept = merged.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))).where((F.col("share") >= least_share) & (F.col("last") - F.col("first") + 1 <= F.col("n_template") + 2 * drift))
+    # a diagonal holds a template position once, so these lists are as long as a template at most
+    diagonals = on_diagonal.groupBy("row_id", "template", "d").agg(F.sort_array(F.collect_set("q")).alias("q")).join(F.broadcast(facts), "template")
+    whole = diagonals.where(F.col("exact") & (F.size("q") == F.col("n_grams"))).select("row_id", "template", "label", "exact", F.col("d").alias("first"), (F.col("d") + F.col("n_template") - 1).alias("last"), F.lit(1.0).alias("share"))
+    sizes = {t: (len(words_of[t]), len(g)) for t, g in enumerate(grams)}
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(sizes, drift, least_share)
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                best.add(*row)
+            yield best.spans()
+        best.close()
+        yield best.spans()
+
+    # a row_id is one text: its diagonals come in order to one task, which holds a band at a time
+    near = diagonals.where(~F.col("exact")).select("row_id", "template", F.col("d").cast("long").alias("d"), "q").repartition("row_id").sortWithinPartitions("row_id", "template", "d")
+    kept = near.mapInArrow(verify, "row_id long, template int, first long, last long, share double").join(F.broadcast(facts), "template")
     return rows.select(key, "row_id", "n_words"), whole.unionByName(kept.select("row_id", "template", "label", "exact", "first", "last", "share"))
 
 
 def summarise(rows: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per input row: places of phrases, their first and last start, labels (phrases' and all), the best share."""
+    """One row per input row: places of phrases, their first and last start, labels (phrases' and all), the best share.
+
+    Repeated rows and null keys have a row each.
+    """
     base = F.col("exact")
     by_row = spans.groupBy("row_id").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),

@@ -118,5 +118,29 @@ def licenses(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def longest_common(pairs):
+    """Longest chain of pairs that grows in both, by comparing all of them."""
+    best = {}
+    for p, q in sorted(pairs):
+        best[p, q] = 1 + max((n for (a, b), n in best.items() if a < p and b < q), default=0)
+    return max(best.values(), default=0)
+
+
+def notice_labels(text, notices, drift=3, least=0.6):
+    """{label: best share} of the notices, trying every band of diagonals."""
+    w = ALNUM.findall(lower(text))
+    grams = [tuple(w[k : k + 2]) for k in range(len(w) - 1)]
+    out = {}
+    for label, notice in notices:
+        t = ALNUM.findall(lower(notice))
+        want = [tuple(t[k : k + 2]) for k in range(len(t) - 1)]
+        pairs = [(p, q) for p, g in enumerate(grams) for q, h in enumerate(want) if g == h]
+        width = min(drift, (len(t) - 1) // 2)
+        best = max((longest_common([(p, q) for p, q in pairs if d <= p - q <= d + width]) for d in {p - q for p, q in pairs}), default=0)
+        if best / len(want) >= least:
+            out[label] = best / len(want)
+    return out
+
+
 def need(a, b, percent=85):
     return math.ceil(percent * (a + b) / (100 + percent))

@@ -104,3 +104,45 @@ def test_licenses(spark):
     assert got[502]["labels"] == "apache,apache-2.0" and 0.6 <= got[502]["score"] <= 1
     assert got[503]["labels"] == "" and got[503]["score"] == 0
     assert got[None]["labels"] == "gpl"
+
+
+def test_repeated_openings_are_no_notice_and_hide_none(spark):
+    rows = [(1, "Licensed under CC licensed under CC and nothing more", "en", "s", 0), (2, "Licensed under the " * 4 + "Apache License, Version 2.0", "en", "s", 0), (3, "2.0 Version License Apache the under Licensed", "en", "s", 0)]
+    rows += [(9, rows[1][1], "en", "s", 0)] * 2
+    got = [(r["doc_id"], r["labels"], r["score"]) for r in licenses.summarise(*licenses.scan(frame(spark, rows))).orderBy("doc_id").collect()]
+    assert got == [(1, "", 0.0), (2, "apache,apache-2.0", 1.0), (3, "", 0.0), (9, "apache,apache-2.0", 1.0), (9, "apache,apache-2.0", 1.0)]
+
+
+def test_notices_against_a_plain_aligner(spark):
+    rng = random.Random(8)
+    notices = [(t.label, t.text) for t in licenses.NOTICES]
+    rows = []
+    for i in range(500):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            w = rng.choice(notices)[1].split()
+            a = rng.randrange(len(w))
+            part = w[a : a + rng.randint(1, len(w))] if rng.random() < 0.5 else list(w)
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(part) + 1)
+                part = part[:k] + ["new"] * rng.randint(0, 3) + part[k + rng.randint(0, 2) :]
+            parts += part * rng.choice((1, 1, 1, 3))
+        rows.append((i, " ".join(parts), "en", "s", 0))
+    rows.append((900, "Licensed under the " * 20_000 + notices[2][1], "en", "s", 0))  # a long one
+    rows_of, spans = licenses.scan(frame(spark, rows))
+    got = {r["doc_id"]: r for r in licenses.summarise(rows_of, spans).collect()}
+    found = 0
+    for i, t, *_ in rows[:-1]:
+        want = fx.notice_labels(t, notices)
+        base = fx.licenses(t)
+        labels = sorted({*want, *filter(None, base[4].split(","))})
+        assert got[i]["labels"] == ",".join(labels), t
+        assert got[i]["score"] == pytest.approx(max([*want.values(), *([1.0] if base[1] else [])], default=0.0))
+        found += bool(want)
+    assert 100 < found < 500
+    assert got[900]["labels"] == "apache,apache-2.0"
+    by: dict = {}
+    for r in spans.where("not exact").collect():
+        by.setdefault((r["row_id"], r["template"]), []).append((r["first"], r["last"]))
+    for x in by.values():  # spans of one notice do not overlap
+        assert all(a[1] < b[0] for a, b in zip(sorted(x), sorted(x)[1:], strict=False))
