@@ -8,25 +8,30 @@ is made twice here, once across the cluster and once inside small blocks:
 
 1.  Shingles are 64-bit hashes.  Texts with equal sets are one *node* (128-bit fingerprint); copies
     are never expanded.
-2.  Shingles of the lower half of the hash range are counted over all texts, by 32-bit keys.
-    *Frequent* ones have long lists; as many as fit a fixed bound are kept, from the most frequent
-    down.  All tasks order shingles alike: rare ones first, then frequent ones by their level,
-    then those not counted, and by hash within each kind.
+2.  Shingles of the lower half of the hash range are counted over all texts, by keys whose bits grow with
+    the number of texts.  The most frequent keys, as many as fit a fixed table, go to the tasks, which
+    order shingles alike: rare ones first, then those of the table by their level, then those not
+    counted, and by hash within each kind.  The table only serves the order: a list that is
+    long though its key is in no table is found to be so in step 3.
 3.  Each node posts the first part of its ordered set: with |x| - ceil(.85 |x|) + e of it, linked
     texts share at least e posted shingles (a little fewer for unlike sizes; the exact number
-    is computed per pair).  The lists of shingles that are not frequent are short, by
-    definition; pairs on them are counted, and a pair stays if its count reaches what is needed
-    less the posted frequent shingles of its two texts.
-4.  A node that posts so many frequent shingles that it could be linked through them alone joins the
-    least node of each such list (lists that were not counted are taken as long), by way of the least node
-    of its part of the list.  This is one edge a posting, however long the list, and no task has a whole one.
+    is computed per pair).  Postings of rare shingles meet on their lists.  Pairs are counted on
+    lists of at most SHORT_LIST postings only, so a posting makes a bounded number of pairs.  What a
+    node posts on longer lists is counted as *often*, like its postings of the table's shingles; a pair
+    stays if its count reaches what is needed less the often postings that the two may share.
+4.  Two nodes that meet on no short list can be linked through long ones only, and then both have at least e
+    often postings.  Such nodes join the least node of each of their long lists (lists that were not
+    counted are taken as long): one edge a posting, however long the list.  Lists of the table's shingles
+    are dealt over SALTS parts; the others have at most (postings / table size) members.
 5.  Components of these candidate edges are *blocks*: a link never leaves its block.  Each set moves to its
     block once, and the block runs DivideSkip with union-find, leaving out pairs that are
-    connected already.  A block of more than BLOCK_NODES nodes is cut into chunks, each a task of its
+    connected already.  A block of more than BLOCK_SHINGLES shingles is cut into chunks, each a task of its
     own: see ``_search``.
 
 The result is exact up to collisions of 64-bit hashes.  No pair of a group of copies is ever
-emitted, and no list, set or group is cut short.
+emitted, and no list, set or group is cut short.  What is not linear: texts made of nothing but common
+shingles that are still not linked with each other may share a large block, and there those
+outside the class of the least node meet all chunks.
 """
 
 from __future__ import annotations
@@ -34,28 +39,32 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import as_bytes, only, slices, split_ws, written
 from quern.llm.components import components
 
-#: Frequent means on more than SHORT lists' worth of texts; at most MOST_FREQUENT keys (4 bytes each) are sent to the tasks.
-SHORT, MOST_FREQUENT = 12, 4_000_000
+#: Keys that more than SHORT texts hold are frequent; the most frequent of them, at most TABLE (9 bytes each), are sent to the tasks.
+SHORT, TABLE = 12, 2_000_000
+#: Pairs are made on lists of at most so many postings.
+SHORT_LIST = 48
 #: Share of the hash range whose shingles are counted; others come last in the order.
 COUNTED = 0.5
-#: Posted beyond the plain prefix, as a share of the set.
-EXTRA = 0.05
-BLOCK_NODES = 1024
-#: Parts of a long list.
+#: Posted beyond the plain prefix, as a share of the set, and at least.
+EXTRA, LEAST_EXTRA = 0.05, 3
+#: Shingles (8 bytes each) of one task's sets; a single set may have more.
+BLOCK_SHINGLES = 400_000
+#: Parts of a long list, or of a block with many nodes.
 SALTS = 64
-#: Bits of the filter that tells which texts are needed again; a fixed bound.
-FILTER_BITS = 1 << 26
+#: The filter that tells which texts are needed again has eight bits a node and at most so many; beyond, texts are joined by their keys.
+FILTER_BITS = 1 << 28
 _REMEMBERED = 200_000
 
 _words: dict[bytes, int] = {}
@@ -93,10 +102,10 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _keys(shingles: np.ndarray) -> np.ndarray:
-    """32-bit keys of the counted shingles (a sorted run at the start), taken from the low bits."""
+def _keys(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of the counted shingles (a sorted run at the start): their 32 + bits low bits."""
     n = np.searchsorted(shingles, np.uint64(int(COUNTED * 2**64)))
-    return (shingles[:n] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return shingles[:n] & np.uint64((1 << 32 + bits) - 1)
 
 
 def need(a: int, b: int, percent: int = 85) -> int:
@@ -112,8 +121,8 @@ def linked(common: int, a: int, b: int, percent: int = 85) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def extra(n, share: float = EXTRA):
-    return np.maximum(1, np.ceil(share * np.asarray(n)).astype(np.int64))
+def extra(n):
+    return np.maximum(LEAST_EXTRA, np.ceil(EXTRA * np.asarray(n)).astype(np.int64))
 
 
 def posted(n, percent: int = 85):
@@ -127,24 +136,35 @@ def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([*arrays, np.empty(0, np.uint64)]), pa.array(offsets, pa.int32())
 
 
-def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys that more than SHORT texts hold, at most MOST_FREQUENT of them, and their levels (quarters of a doubling)."""
-    bits = min(16, max(6, (docs.count() // 4000).bit_length()))  # key ranges of about a million keys each
+@dataclass(frozen=True)
+class Frequent:
+    """Sorted keys of 32 + bits bits and their levels, in quarters of a doubling."""
+
+    bits: int
+    keys: np.ndarray
+    levels: np.ndarray
+
+
+def _frequent(docs: DataFrame, text: str) -> Frequent:
+    """The keys that more than SHORT texts hold, the most frequent TABLE of them."""
+    bits = min(20, max(6, (docs.count() // 4000).bit_length()))  # a key range of about a million keys for each value of the upper bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys, n = np.unique(np.concatenate([*held, np.empty(0, np.uint32)]), return_counts=True)
-            n = np.minimum(n, 255).astype(np.uint8)  # more than SHORT is all that matters
-            edges = np.searchsorted(keys >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
-            rows = [(c, keys[a:z].tobytes(), n[a:z].tobytes()) for c, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+            keys, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+            n = np.minimum(n, 255).astype(np.uint8)  # of one task's two million; sums of tasks are not cut
+            chunk = (keys >> np.uint64(32)).astype(np.int64)
+            low = keys.astype(np.uint32)
+            edges = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(keys))
+            rows = [(chunk[a], low[a:z].tobytes(), n[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "keys", "n"])
 
         for b in slices(batches):
             for t in as_bytes(b.column(0)):
-                k = _keys(shingle_set(t))
+                k = _keys(shingle_set(t), bits)
                 held.append(k)
                 size += len(k)
                 if size > 2_000_000:
@@ -158,28 +178,29 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
             keys, where = np.unique(np.concatenate([keys, np.frombuffer(k, np.uint32)]), return_inverse=True)
             n = np.bincount(where, np.concatenate([n, np.frombuffer(c, np.uint8).astype(np.int64)]), len(keys)).astype(np.int64)
         many = n > SHORT
-        return pa.table({"key": pa.array(keys[many].astype(np.int64)), "n": pa.array(n[many])})
+        chunk = group.column("chunk")[0].as_py() if group.num_rows else 0
+        return pa.table({"key": pa.array(keys[many].astype(np.int64) + (chunk << 32)), "n": pa.array(n[many])})
 
     counted = written(only(docs, text).mapInArrow(count, "chunk int, keys binary, n binary").groupBy("chunk").applyInArrow(add, "key long, n long"), "frequent")
     at_least = {r["n"]: r["c"] for r in counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).toLocalIterator()}
     level, total = SHORT + 1, sum(at_least.values())
     for n in sorted(at_least):
-        if total <= MOST_FREQUENT:
+        if total <= TABLE:
             break
         total -= at_least[n]
         level = n + 1
-    kept = counted.where(F.col("n") >= level).select("key", F.least(F.lit(254), F.floor(4 * F.log2("n"))).cast("int").alias("l")).toPandas()  # at most MOST_FREQUENT keys, whatever the input
+    kept = counted.where(F.col("n") >= level).select("key", F.least(F.lit(254), F.floor(4 * F.log2("n"))).cast("int").alias("l")).toPandas()  # at most TABLE keys, whatever the input
     order = np.argsort(kept["key"].to_numpy(), kind="stable")
-    return kept["key"].to_numpy()[order].astype(np.uint32), kept["l"].to_numpy()[order].astype(np.uint8)
+    return Frequent(bits, kept["key"].to_numpy()[order].astype(np.uint64), kept["l"].to_numpy()[order].astype(np.uint8))
 
 
-def _ordered(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
-    """(the posted shingles in order, how many of these, at the end, are not known to be rare).
+def _ordered(shingles: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, int]:
+    """(the posted shingles in order, how many of these, at the end, are in the table or not counted).
 
     The order: counted and rare, frequent by level, not counted; by hash within each.
     """
-    often, level = frequent
-    keys = _keys(shingles)
+    often, level = frequent.keys, frequent.levels
+    keys = _keys(shingles, frequent.bits)
     kind = np.full(len(shingles), 255, np.uint8)
     kind[: len(keys)] = 0
     if len(often):
@@ -192,8 +213,8 @@ def _ordered(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> t
     return shingles[np.argsort(kind, kind="stable")[:n]], n - len(rare)
 
 
-def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
-    """key, n (set size), fp, posted shingles, n_often (how many of these, at the end, are not known to be rare)."""
+def sets(docs: DataFrame, frequent: Frequent, key: str, text: str) -> DataFrame:
+    """key, n (set size), fp, posted shingles, n_often (how many of these, at the end, are in the table or not counted)."""
     slim = only(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -203,13 +224,13 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], key: str, tex
             found = [shingle_set(t) for t in as_bytes(b.column(1))]
             first = [_ordered(s, frequent) if len(s) else (s, 0) for s in found]
             flat, offsets = _flat([f[0] for f in first])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.array([f[1] for f in first], pa.int64())], names=[key, "n", "fp", "posted", "n_often"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.array([f[1] for f in first], pa.int64())], names=["key", "n", "fp", "posted", "n_often"])
 
-    return slim.mapInArrow(run, T.StructType([slim.schema[key], T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("posted", T.ArrayType(T.LongType())), T.StructField("n_often", T.LongType())]))
+    return slim.mapInArrow(run, T.StructType([T.StructField("key", slim.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("posted", T.ArrayType(T.LongType())), T.StructField("n_often", T.LongType())]))
 
 
-def _short_list_pairs(nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs (a, b) that meet often enough on lists of rare shingles.
+def _meet(nodes: DataFrame, buckets: int) -> DataFrame:
+    """Lists of shingles that are not in the table: pairs (a, b, c) that meet c times on short ones, and postings (list, node, 0) on longer ones.
 
     A posting is six bytes of the hash and the place of its node in the list beside it, so
     its size has a bound whatever the number of buckets.
@@ -248,8 +269,12 @@ def _short_list_pairs(nodes: DataFrame, percent: int, buckets: int) -> DataFrame
         s, o = np.concatenate(shingles), np.concatenate(owners)
         order = np.argsort(s, kind="stable")
         s, o = s[order], o[order]
+        edges = np.append(np.flatnonzero(np.diff(s, prepend=~s[:1])), len(s))
+        long = np.repeat(np.diff(edges) > SHORT_LIST, np.diff(edges))
+        listed, holders = s[long].view(np.int64), o[long]
+        s, o = s[~long], o[~long]
         first, second = [], []
-        # each posting meets those after it on its list: as many rounds as the longest list has members
+        # each posting meets those after it on its list: as many rounds as the longest short list has members
         step, alive = 1, np.arange(len(s))
         while True:
             alive = alive[alive + step < len(s)]
@@ -264,29 +289,41 @@ def _short_list_pairs(nodes: DataFrame, percent: int, buckets: int) -> DataFrame
         by = np.lexsort((b, a))
         a, b = a[by], b[by]
         start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
-        return pa.table({"a": a[start], "b": b[start], "c": np.diff(np.append(start, len(a))).astype(np.int64)})
+        c = np.diff(np.append(start, len(a))).astype(np.int64)
+        return pa.table({"a": np.concatenate([a[start], listed]), "b": np.concatenate([b[start], holders]), "c": np.concatenate([c, np.zeros(len(listed), np.int64)])})
+
+    return nodes.select("node", "posted", "n_often").mapInArrow(post, "bucket long, shingles binary, owners binary, nodes binary").groupBy("bucket").applyInArrow(meet, "a long, b long, c long")
 
-    met = nodes.select("node", "posted", "n_often").mapInArrow(post, "bucket long, shingles binary, owners binary, nodes binary").groupBy("bucket").applyInArrow(meet, "a long, b long, c long")
-    size = nodes.select(F.col("node"), "n", "n_often")
-    both = met.groupBy("a", "b").agg(F.sum("c").alias("c"))
-    both = both.join(size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("n_often").alias("oa")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("n_often").alias("ob")), "b")
+
+def _extra(n: Column) -> Column:
+    return F.greatest(F.lit(LEAST_EXTRA), F.ceil(F.lit(EXTRA) * n))
+
+
+def _short_list_pairs(met: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that meet on short lists, as often as is needed beside what they may share on longer ones; size: (node, n, often)."""
+    both = met.where("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    both = both.join(size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("often").alias("oa")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("often").alias("ob")), "b")
     both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
 
     def surplus(n: str):
-        prefix = F.least(F.col(n), F.col(n) - F.ceil(percent * F.col(n) / F.lit(100)) + F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * F.col(n))))
+        prefix = F.least(F.col(n), F.col(n) - F.ceil(percent * F.col(n) / F.lit(100)) + _extra(F.col(n)))
         return prefix - F.col(n) + least
 
     return both.where(F.col("c") >= F.least(surplus("na"), surplus("nb")) - F.least("oa", "ob")).select("a", "b")
 
 
-def _long_list_edges(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, least node of the list) on lists of frequent shingles, of nodes that these alone could link.
+def _long_list_edges(nodes: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """(node, least node of the list) on long lists, of nodes that these alone could link.
 
-    A partner has at least percent of the size, so at least that share of ``extra``, less one for rounding.
+    Linked nodes share at least min(e, e') postings, and a partner has at least percent of the size: so
+    a node with fewer often postings than the smallest partner's ``extra`` is linked through short lists.
     """
-    rich = nodes.where((F.col("n_often") > 0) & (F.col("n_often") >= F.floor(percent / 100 * F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * F.col("n")))) - 1))
-    lists = rich.select("node", F.explode(F.expr("slice(posted, size(posted) - cast(n_often as int) + 1, cast(n_often as int))")).alias("s")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    smallest = F.ceil(percent * F.col("n") / F.lit(100))
+    rich = nodes.where((F.col("often") > 0) & (F.col("often") >= F.least(smallest, _extra(smallest))))
+    tail = F.explode(F.expr("slice(posted, size(posted) - cast(n_often as int) + 1, cast(n_often as int))"))
+    found = met.where("c = 0").select(F.col("b").alias("node"), F.col("a").alias("s"))
+    lists = rich.where("n_often > 0").select("node", tail.alias("s")).unionByName(found.join(rich.select("node"), "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     # a long list is dealt over SALTS parts: its nodes join the least of their part, and these the least of all
     part = lists.groupBy("s", "salt").agg(F.min("node").alias("m"))
     inside = lists.join(part, ["s", "salt"]).where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
@@ -294,6 +331,14 @@ def _long_list_edges(nodes: DataFrame, percent: int) -> DataFrame:
     return inside.unionByName(across).distinct()
 
 
+def candidates(nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) whose components hold every link; their number is linear in the postings."""
+    met = written(_meet(nodes, buckets), "met")
+    more = met.where("c = 0").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("more"))
+    nodes = nodes.join(more, "node", "left").withColumn("often", F.col("n_often") + F.coalesce("more", F.lit(0)))
+    return _short_list_pairs(met, nodes.select("node", "n", "often"), percent).unionByName(_long_list_edges(nodes, met, percent))
+
+
 class Block:
     """The sets of a block as inverted lists, and their T-occurrence search."""
 
@@ -382,47 +427,54 @@ def solve_groups(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(roots, pa.int64())})
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A bit for the hash of each node: FILTER_BITS / 8 bytes, whatever the input; others that pass are joined away."""
-    at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = nodes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for b in words.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
+def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the hash of each node: bits / 8 bytes; others that pass are joined away."""
+    at = F.pmod(F.xxhash64("node"), F.lit(bits))
+    words = nodes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {bits}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    for b in words.toArrow().to_batches():  # at most bits / 64 rows
         out[b.column(0).to_numpy()] = b.column(1).to_numpy()
     return out
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, fp, shingles) of the wanted nodes' texts: read again where they are, only what passes the filter leaves."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    slim = docs.select(F.col(f"`{key}`").alias("node"), F.pmod(F.xxhash64(F.col(f"`{key}`").cast("long")), F.lit(FILTER_BITS)).alias("at"), F.col(f"`{text}`").alias("text")).where("node is not null")
+    """(node, fp, shingles, ...) of the wanted nodes' texts, which are read again.
+
+    Where a filter of the wanted nodes is within FILTER_BITS, only what passes it leaves its place; beyond,
+    texts are joined with the wanted nodes by key.  Either way the join by (node, fp) decides.
+    """
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).where("node is not null")
+    bits = max(64, 1 << (8 * wanted.count() - 1).bit_length())
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, bits) if bits <= FILTER_BITS else None)
+    if bits > FILTER_BITS:
+        slim = slim.join(wanted.select("node"), "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        passing = shared.value
         for b in slices(batches):
-            at = b.column(1).to_numpy()
-            b = b.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
-            found = [shingle_set(t) for t in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "fp", "shingles"])
+            if passing is not None:
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((passing[at >> 6] >> (at & 63)) & 1 == 1))
+            found = [shingle_set(t) for t in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "fp", "shingles"])
 
-    return slim.mapInArrow(run, "node long, fp binary, shingles binary").join(wanted.select("node", "fp", "block", "size", "chunk"), ["node", "fp"])
+    return slim.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, "node long, fp binary, shingles binary").join(wanted, ["node", "fp"])
 
 
 def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks: int, percent: int) -> DataFrame:
     """(a, b): links that connect each linked class of nodes.
 
-    wanted: (node, fp, block, size, chunk); sets_of gives the (block, size, chunk, node, shingles) of such rows.
+    wanted: (node, fp, n, block, chunks, chunk); sets_of gives such rows with their shingles.
     Small blocks are solved whole, many to a task.  A large block is solved in two steps.  First
     each of its chunks, together with the block's least node: in a group of near copies this
     connects nearly all with that node, wherever they are.  A link that is still missing has an
     end outside the class of the least node; these ends, chunk by chunk, then meet all chunks.
     """
     solve = lambda g: solve_groups(g, percent)
-    large = F.col("size") > BLOCK_NODES
-    chunks = F.ceil(F.col("size") / BLOCK_NODES).cast("long")
+    large = F.col("chunks") > 1
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     # the least node of a block is its name; a large block's goes to all its chunks
-    at = F.explode(F.when(large & (F.col("node") == F.col("block")), upto(chunks)).otherwise(F.array("chunk")))
+    at = F.explode(F.when(large & (F.col("node") == F.col("block")), upto(F.col("chunks"))).otherwise(F.array("chunk")))
     task = F.when(large, F.xxhash64("block", "at")).otherwise(F.pmod(F.xxhash64("block"), F.lit(tasks)))
     first = sets_of(wanted).withColumn("at", at).select(task.alias("task"), "block", "node", "fp", "shingles")
     step = written(first.groupBy("task").applyInArrow(solve, "node long, root long"), "links")
@@ -434,11 +486,11 @@ def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks:
     placed = big.join(inside, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = placed.where("node = block").select("block", F.col("root").alias("main"))
     placed = placed.join(main, "block").withColumn("apart", F.col("root") != F.col("main"))
-    rest = placed.where("apart").groupBy("block").agg(F.count("*").alias("rest"))
-    placed = written(placed.join(rest, "block").withColumns({"groups": F.ceil(F.col("rest") / BLOCK_NODES).cast("long"), "chunks": chunks}), "large-blocks")
+    rest = placed.where("apart").groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("groups"))
+    placed = written(placed.join(rest, "block"), "large-blocks")
     if placed.isEmpty():
         return links
-    whole = sets_of(placed.select("node", "fp", "block", "size", "chunk")).select("node", "fp", "shingles").join(placed.select("node", "fp", "block", "chunk", "apart", "groups", "chunks"), ["node", "fp"])
+    whole = sets_of(placed.select("node", "fp", "block", "chunk", "chunks", "apart", "groups"))
     group = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("groups"))
     # a node apart goes, with its group, to every chunk of its block; every node goes, with its chunk, to every group
     asked = F.when(F.col("apart"), F.transform(upto(F.col("chunks")), lambda j: F.struct(group.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
@@ -451,29 +503,47 @@ def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """key, ``n_shingles``, ``component_id`` (the smallest key reachable by links, its own included), one row per input row.
 
-    Null and empty texts have no shingles and link with nothing.  A null key has a null component and
-    takes no part in links.  Rows that repeat a key are one vertex each, under that key.
+    Keys are whole numbers.  Null and empty texts have no shingles and link with nothing.  A null key
+    has a null component and takes no part in links.  Rows that repeat a key are one vertex each, under
+    that key.  Texts of any length are read whole; an empty table gives an empty result.
     """
     rows = written(sets(docs, _frequent(docs, text), key, text), "shingles")
-    live = rows.where(F.col(key).isNotNull() & (F.col("n") > 0))
-    nodes = written(live.groupBy("fp", "n", "n_often").agg(F.min(F.col(key).cast("long")).alias("node"), F.first("posted").alias("posted")), "nodes")
+    live = rows.where("key is not null and n > 0")
+    nodes = written(live.groupBy("fp", "n", "n_often").agg(F.min(F.col("key").cast("long")).alias("node"), F.first("posted").alias("posted")), "nodes")
     volume = nodes.agg(F.sum(F.size("posted"))).first()[0] or 0
-    edges = _short_list_pairs(nodes, percent, max(8, int(volume // 500_000))).unionByName(_long_list_edges(nodes, percent))
-    blocks = components(edges)
-    sizes = blocks.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = written(blocks.join(sizes, "root").join(nodes.select("node", "fp"), "node").select("node", "fp", F.col("root").alias("block"), "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES)).alias("chunk")), "blocks")
-    tasks = max(8, wanted.count() // 1500)
+    blocks = components(candidates(nodes, percent, max(8, int(volume // 500_000))))
+    placed = written(blocks.join(nodes.select("node", "fp", "n"), "node").select("node", "fp", "n", F.col("root").alias("block")), "blocks")
+    wanted = written(_chunked(placed), "chunks")
+    tasks = max(8, int((wanted.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
     links = _search(lambda some: _candidate_sets(docs, some, key, text), wanted, tasks, percent)
     linked_to = components(links)
     component = nodes.select("fp", "n", "node").join(linked_to, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("root"))
-    out = rows.select(key, "fp", "n").join(component, ["fp", "n"], "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("root", F.col(key))).cast("long").alias("component_id"))
+    # rows without shingles or key have no part in the join, so neither empty texts nor null keys are one hot key of it
+    apart = rows.where("key is null or n = 0").select("key", "n", F.col("key").cast("long").alias("component_id"))
+    out = live.select("key", "fp", "n").join(component, ["fp", "n"]).select("key", "n", F.col("root").alias("component_id")).unionByName(apart)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _chunked(placed: DataFrame) -> DataFrame:
+    """With ``chunks`` (of the block) and ``chunk`` (of the node). Only large blocks are looked up, each in SALTS copies, so a large one is no hot key."""
+    sizes = placed.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("chunks")).where("chunks > 1")
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(salted, ["block", "salt"], "left")
+    return found.drop("salt").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long"))).withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("chunks")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """docs with one row of each component, that of the smallest key; rows with null keys stay."""
-    found = near_duplicates(docs, key, text, percent)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.join(kept, key, "left_semi").select(*docs.columns)
-    once = found.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").limit(1).count() == 0
-    return (named if once else named.dropDuplicates([key])).unionByName(docs.where(F.col(key).isNull()))
+    """docs with one row of each component, that of the smallest key; rows with null keys stay.
+
+    Of rows that repeat such a key the one with the least text stays (null first), of equal texts the one
+    with the least hash of the row.  Columns may have any names.
+    """
+    found = near_duplicates(docs, key, text, percent).select(F.col(f"`{key}`").alias("key"), "component_id")
+    kept = found.where("key = component_id").select("key").distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = docs.select(F.struct(*columns).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    named = row.join(kept, "key", "left_semi")
+    if found.groupBy("key").agg(F.count("*").alias("c")).where("key is not null and c > 1").limit(1).count():
+        named = named.groupBy("key").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row"))
+    out = named.select("row").unionByName(row.where("key is null").select("row"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

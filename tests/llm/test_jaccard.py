@@ -19,11 +19,14 @@ def test_same_as_all_pairs(spark):
     assert result(jaccard.near_duplicates(odd(frame(spark, rows)))) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_groups_and_shared_passages(spark, monkeypatch, block):
-    """A large group of near copies, passages that many texts share, chains of edits; also with blocks cut into chunks."""
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+@pytest.mark.parametrize(("block", "table", "bits"), [(200, 2_000_000, 1 << 28), (400_000, 2_000_000, 0), (200, 0, 1 << 28), (400_000, 5, 1 << 28)])
+def test_groups_and_shared_passages(spark, monkeypatch, block, table, bits):
+    """A large group of near copies, passages that many texts share, chains of edits; also with blocks cut into chunks, a full table, no filter."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "TABLE", table)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
     monkeypatch.setattr(jaccard, "SHORT", 4)
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 6)
     rng = random.Random(8)
     passage = prose(rng, 30)
     texts = [prose(rng, 40) + " " + passage for _ in range(25)] + [passage + " " + passage + f" end{k}" for k in range(8)]
@@ -61,7 +64,7 @@ def test_keep_one(spark):
 def test_prefixes_share_what_they_must():
     """Linked sets meet in at least as many posted shingles as a pair is asked for."""
     rng = np.random.default_rng(2)
-    frequent = (np.empty(0, np.uint32), np.empty(0, np.uint8))
+    frequent = jaccard.Frequent(6, np.empty(0, np.uint64), np.empty(0, np.uint8))
     for _ in range(300):
         n = int(rng.integers(1, 120))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * 2)
@@ -109,5 +112,27 @@ def test_a_key_with_two_texts_keeps_both():
 
 def test_candidate_sets_of_an_int_key(spark):
     docs = spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(6)], "doc_id int, text string")
-    wanted = spark.createDataFrame([(i, bytearray(jaccard.fingerprint(jaccard.shingle_set(f"a b c d e f{i}".encode()))), 0, 6, 0) for i in range(6)], "node long, fp binary, block long, size long, chunk long")
+    wanted = spark.createDataFrame([(i, bytearray(jaccard.fingerprint(jaccard.shingle_set(f"a b c d e f{i}".encode()))), 0, 1, 0) for i in range(6)], "node long, fp binary, block long, chunks long, chunk long")
     assert jaccard._candidate_sets(docs, wanted, "doc_id", "text").count() == 6
+
+
+@pytest.mark.parametrize("table", [0, 2_000_000])
+def test_a_long_list_makes_few_candidates(spark, monkeypatch, table):
+    """20,000 unlinked texts on one list: not a pair for every two of them, whether or not the list is in the table."""
+    monkeypatch.setattr(jaccard, "TABLE", table)
+    texts = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the very same words "), *(F.concat(F.lit(f" w{k}_"), F.col("id")) for k in range(8))).alias("text"))
+    rows = jaccard.sets(texts, jaccard._frequent(texts, "text"), "doc_id", "text").withColumnRenamed("key", "node").cache()
+    assert jaccard._meet(rows, 8).count() <= rows.select(F.sum(F.size("posted"))).first()[0]
+    assert jaccard.candidates(rows, 85, 8).count() < 20_000
+    rows.unpersist()
+
+
+def test_awkward_rows_and_names(spark):
+    rng = random.Random(2)
+    long = prose(rng, 1000)
+    long = " ".join([long] + [f"u{k}" for k in range(600_000)])  # about 5 MB
+    rows = [(1, long), (2, long + " end"), (3, "p q r s t u v w"), (3, "some other words of this key"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"a.b": F.lit(1), "component_id": F.lit("x"), "fp": F.lit("y"), "key": F.lit(2), "row": F.lit(3)})
+    got = jaccard.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, long), (3, "p q r s t u v w"), (None, None), (5, "")], key=str)
