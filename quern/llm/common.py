@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,3 +85,14 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; extra columns of the input, whatever they are called, play no part."""
     return docs.select(*(F.col(f"`{n}`") for n in names))
+
+
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """docs through run, which keeps the columns; these may have any names, dots and clashes included."""
+    names = docs.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=names)
+
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import ALNUM_TABLE, as_bytes, only, split_alnum
+from quern.llm.common import ALNUM_TABLE, as_bytes, map_rows, only, split_alnum
 
 #: Words of one block; an automaton has at most twice as many states.
 BLOCK_WORDS = 400_000
@@ -273,4 +273,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 columns[counted] = pa.array(sizes, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -140,10 +140,15 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, seed: int = 1, most_rul
 
 
 def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = 30_000) -> list[Rule]:
-    """From at most max_rows labelled rows of the training fold, those with the smallest hashes of their ids; label 0 is bad."""
+    """From at most max_rows labelled keys of the training fold, those with the smallest hashes; label 0 is bad.
+
+    Null keys and labels are ignored; of several labels of a key the larger counts, of several rows of a key the least.
+    """
     known = only(labels, key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull() & in_training_fold(key)).groupBy(key).agg(F.max(label).alias("good"))
     picked = F.broadcast(known.orderBy(F.xxhash64(key), key).limit(max_rows))  # at most max_rows rows of two numbers
-    got = stats.join(picked, key).select("good", *COUNTS).toPandas()  # a few numbers a row
+    one = stats.join(picked, key).groupBy(key, "good").agg(F.min(F.struct(*COUNTS)).alias("c"))
+    # the order of rows tells which grow and which prune
+    got = one.select(key, "good", "c.*").orderBy(F.xxhash64(key), key).toPandas()  # at most max_rows rows, a few numbers each
     if not len(got):
         return []
     return learn(ratios({c: got[c].to_numpy() for c in COUNTS}), got["good"].to_numpy() != 1)
@@ -166,8 +171,9 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, the counts, ``base_failed``, ``kept`` and the deciding ``rule``, one row per input row.
 
-    Null texts count as empty: no words, hence base_failed.  Null keys stay in the result but match
-    no label.  Without labels no rule is learned, and only the base decides.
+    Null texts count as empty: no words, hence base_failed; long texts are read whole.  Null keys stay in
+    the result but match no label.  Repeated rows are judged each, and equal texts alike.  Extra columns
+    are ignored.  Without labels no rule is learned, and only the base decides; an empty table gives an empty result.
     """
     stats = written(text_counts(docs, key, text), "rule-counts")
     kept, why = verdict(fit(stats, labels, key))

@@ -33,8 +33,10 @@ def interleave(docs: DataFrame, shards: int = 16, stratum: str = "source", key:
     """One row per input row: key, stratum, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``shard``, ``slot``.
 
     Null strata form a stratum of their own.  Null keys and repeated rows are kept; equal
-    rows may swap places, which changes nothing.  Null texts have size 1 and checksum 0.
-    An empty table gives an empty result.  Extra columns are ignored.
+    rows may swap places, which changes nothing.  The seeded order is by a hash of key, checksum and
+    size, so rows that share a null or repeated key are spread like any, and ties are rows equal in
+    all three, in the order of their strata.  Null texts have size 1 and checksum 0, long ones are read
+    whole.  An empty table gives an empty result.  Extra columns are ignored.
     """
     n_rows = docs.count()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n_rows // BUCKET_ROWS)))
@@ -44,8 +46,7 @@ def interleave(docs: DataFrame, shards: int = 16, stratum: str = "source", key:
         F.col(f"`{stratum}`").alias("stratum"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("crc"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))).alias("h"),
-    ).withColumns({"s": F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit("")), "b": F.floor(_uniform(F.col("h")) * buckets / F.lit(1 << 32))})
+    ).withColumns({"h": F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.lit("")), "crc", "size")), "s": F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit("")), }).withColumn("b", F.floor(_uniform(F.col("h")) * buckets / F.lit(1 << 32)))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slim.groupBy("s", "b").agg(F.count("*").alias("c")).select("s", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("earlier"), F.sum("c").over(Window.partitionBy("s")).alias("n"))
     ranked = slim.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "key", "crc", "size"))).join(offsets, ["s", "b"])

@@ -7,7 +7,7 @@ _CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_
 SHARDING = f"""
 WITH slim AS (
   SELECT doc_id, source, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {_CRC}::BIGINT AS text_crc32,
-         md5('17:' || coalesce(doc_id::VARCHAR, '')) AS h, coalesce('=' || source, '') AS s
+         md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32 || ':' || size) AS h, coalesce('=' || source, '') AS s
   FROM documents, {_CRC_TABLE}
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS r, count(*) OVER (PARTITION BY s) AS n,

@@ -21,6 +21,7 @@ each other add up in the window score.  Scores lie in [0, 1]; texts are read who
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import in_training_fold, only
+from quern.llm.common import in_training_fold, map_rows, only, written
 
 WINDOW = 12
 STEM_LENGTHS = (3, 4, 5, 6, 7)
@@ -266,62 +267,77 @@ def distinct_words(text: str | None) -> set[str]:
     return {n for w in set((text or "").lower().split()) if (n := normal(w)) and len(n) > 2 and not n.isdigit()}
 
 
-def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, most: int = 400, max_terms: int = 60_000) -> dict[str, float]:
+def choose(toxic: list[set[str]], clean_df: dict[str, int], n_clean: int, explained_by: int = 8, least: int = 3) -> dict[str, float]:
     """Greedy cover: term after term, the one that explains most toxic texts not yet explained, if it is rare in clean ones.
 
-    Of more than ``max_terms`` terms that pass the test, those with the highest odds are candidates.
-    At most ``most`` terms are chosen, and the whole words that the stems among them hold.
+    A text counts until ``explained_by`` terms explain it; choosing ends when no term explains ``least`` texts more.
+    So each text's terms, and with them the lexicon, are bounded by the sample of texts and nothing else.
+    Whole words go before stems of the same cover, higher odds before lower, longer terms
+    before shorter ones, then by the alphabet.  The whole words that chosen stems hold are terms too.
     """
     n = max(1, len(toxic))
     df = Counter(t for x in toxic for t in x)
-    odds = {t: np.log(((c + 0.5) / (n + 1)) / ((clean_df.get(t, 0) + 0.5) / (n_clean + 1))) for t, c in df.items()}
-    good = {t for t, c in df.items() if c >= 3 and odds[t] >= 2.5 and clean_df.get(t, 0) <= 0.1 * c}
-    if len(good) > max_terms:
-        good = set(sorted(good, key=lambda t: (-odds[t], -df[t], t))[:max_terms])
+    odds = {t: float(np.log(((c + 0.5) / (n + 1)) / ((clean_df.get(t, 0) + 0.5) / (n_clean + 1)))) for t, c in df.items()}
+    good = {t for t, c in df.items() if c >= least and odds[t] >= 2.5 and clean_df.get(t, 0) <= 0.1 * c}
     left: dict[str, set[int]] = {}
+    held_by: dict[str, set[str]] = {}  # stem -> the terms that begin with it
     for i, x in enumerate(toxic):
         for t in x & good:
             left.setdefault(t, set()).add(i)
+    for t in good:
+        body = t.rstrip("*")
+        for k in STEM_LENGTHS:
+            if len(body) > k - (t[-1] != "*") and body[:k] + "*" in good and body[:k] + "*" != t:
+                held_by.setdefault(body[:k] + "*", set()).add(t)
+
+    def rank(t: str) -> tuple:
+        return (-len(left[t]) * (1.02 if t[-1] != "*" else 1), -odds[t], -len(t), t)
+
+    heap = [rank(t) for t in left]
+    heapq.heapify(heap)
     out: dict[str, float] = {}
     held: set[str] = set()
-    covered: dict[int, int] = Counter()
-    while left and len(out) < most:
-        # a text counts until eight terms explain it; whole words go before stems, longer stems before shorter ones
-        t = max(left, key=lambda t: (len(left[t]) * (1.02 if t[-1] != "*" else 1), odds[t], len(t), t))
+    covered: Counter = Counter()
+    while heap:
+        was = heapq.heappop(heap)
+        t = was[-1]
+        if t not in left:
+            continue
+        if (now := rank(t)) != was:  # covers only shrink, so a stale rank is too good
+            heapq.heappush(heap, now)
+            continue
         docs = left.pop(t)
-        if len(docs) < 3:
-            break
-        out[t] = float(min(6.0, odds[t]))
+        if len(docs) < least:
+            continue
+        out[t] = min(6.0, odds[t])
+        for u in held_by.get(t, ()):  # what a chosen stem holds explains nothing more
+            left.pop(u, None)
+            if u[-1] != "*":
+                held.add(u)
         for i in docs:
             covered[i] += 1
-        full = {i for i in docs if covered[i] >= 8}
-        if t[-1] == "*":  # what a chosen stem holds explains nothing more
-            held.update(u for u in good if u[-1] != "*" and u.startswith(t[:-1]))
-            for u in [u for u in left if u.startswith(t[:-1])]:
-                left.pop(u)
-        if full:
-            for u in list(left):
-                left[u] -= full
-                if not left[u]:
-                    del left[u]
+            if covered[i] >= explained_by:
+                for u in toxic[i] & left.keys():
+                    left[u].discard(i)
     # stems match as they are written only; the words they hold stay terms, so that misspellings are near these
-    return out | {u: float(min(6.0, odds[u])) for u in sorted(held - out.keys())}
+    return out | {u: min(6.0, odds[u]) for u in sorted(held - out.keys())}
 
 
 def _sample(labels: DataFrame, key: str, label: str, value: int, most: int) -> DataFrame:
     return labels.where(F.col(label) == value).orderBy(F.xxhash64(key), key).limit(most).select(F.col(key), F.lit(value).alias("y"), (F.xxhash64(F.lit(7), F.col(key)) % 2 == 0).alias("first"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 4000, max_clean: int = 12000, max_terms: int = 60_000) -> ToxicityModel:
-    """Learn from the labels of the training fold; bounded by max_toxic and max_clean rows, and max_terms terms that are rare in clean ones.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 4000, max_clean: int = 12000) -> ToxicityModel:
+    """Learn from the labels of the training fold; bounded by max_toxic and max_clean labelled rows, and by nothing else.
 
-    Null labels and keys are ignored, of several labels of a key the larger counts.  Without
-    toxic rows the lexicon is empty, and every score is small.
+    The sampled texts are read in one pass and written; every later step reads these.  Null labels
+    and keys are ignored, of several labels of a key the larger counts, of several texts of a key the least.
+    Without toxic rows the lexicon is empty, and every score is small.
     """
-    known = only(labels, key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull() & in_training_fold(key)).groupBy(key).agg(F.max(label).alias(label)).cache()
+    known = only(labels, key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull() & in_training_fold(key)).groupBy(key).agg(F.max(label).alias(label))
     totals = {int(r[0] > 0): r[1] for r in known.groupBy((F.col(label) > 0).cast("int")).count().toLocalIterator()}
     picked = F.broadcast(_sample(known, key, label, 1, max_toxic).union(_sample(known, key, label, 0, max_clean)))  # at most max_toxic + max_clean rows
-    train = only(docs, key, text).join(picked, key)
+    train = written(only(docs, key, text).join(picked, key).groupBy(key, "y", "first").agg(F.min(text).alias(text)), "labelled-texts")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     clean = train.where((F.col("y") == 0) & F.col("first")).select(text)
     clean_df = {r["term"]: r["n"] for r in clean.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     n_clean = clean_df.pop("\0", 0)
-    chosen = choose(toxic, clean_df, n_clean, max_terms=max_terms)
+    chosen = choose(toxic, clean_df, n_clean)
     words = {t: w for t, w in chosen.items() if t[-1] != "*"}
     draft = Lexicon({t: (w, w) for t, w in words.items()}, {t[:-1]: w for t, w in chosen.items() if t[-1] == "*"})
     drafted = sc.broadcast((draft.words, draft.stems))
@@ -374,7 +390,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([reader.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = train.where(~F.col("first")).select(text, "y").mapInArrow(seen, "y int, x array<double>").collect()  # at most the sampled rows, nine numbers each
-    known.unpersist()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), Reader.FEATURES)
     y = np.array([r["y"] for r in rows], float)
     if not len(rows) or not y.any() or y.all():
@@ -387,7 +402,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def apply(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, score, predicted) for each row; null and empty texts have no hits."""
+    """(key, score, predicted) for each row, repeated ones too; null and empty texts have no hits, long ones are read whole.
+
+    Null keys are scored.  Extra columns are ignored; an empty table gives an empty result.  A score
+    depends on the text and the model alone, so equal texts tie.
+    """
     slim = only(docs, key, text)
     shared = _share(docs, model)
 
@@ -401,7 +420,7 @@ def apply(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
 
 def _share(docs: DataFrame, model: ToxicityModel):
-    """The model, of a few hundred chosen terms, the words that their stems hold and the near words of a bounded sample, for the tasks."""
+    """The model, whose terms and near words all come from the bounded sample, for the tasks."""
     return docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.benign, model.weights))
 
 
@@ -413,7 +432,10 @@ def _scorer(parts: tuple) -> Callable[[pa.Array], np.ndarray]:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, whose texts score below threshold. Texts are scored where they are read."""
+    """The rows of docs, all columns as they are and whatever their names, whose texts score below threshold.
+
+    Texts are scored where they are read.  Null and empty texts have no hits and stay, null keys and repeated rows are rows like any.
+    """
     shared, at = _share(docs, fit(docs, labels, key, text)), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,8 +443,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
         for b in batches:
             yield b.filter(pa.array(score(b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``fit`` and ``apply``; see there for nulls, ties and empty tables."""
     return apply(docs, fit(docs, labels, key, text), key, text, threshold)
