@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, features, licenses, rules
 
@@ -26,12 +27,32 @@ def test_decontamination(spark):
     assert {r["doc_id"]: tuple(r)[1:6] for r in got.collect()} == want
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_decontamination_by_a_large_benchmark(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BENCHMARK_WORDS", 20)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
     rows = documents()
     bench = items(rows, 2)
-    got = decontaminate.measure(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"))
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.measure(odd(frame(spark, rows)), table)
     assert {r["doc_id"]: tuple(r)[1:6] for r in got.collect()} == fx.decontamination(rows, [(i, t) for i, t in bench if t])
+    docs = odd(frame(spark, rows)).withColumn("a.b", F.lit(1))
+    large = decontaminate.clean(docs, table, length="n_chars")
+    monkeypatch.setattr(decontaminate, "BENCHMARK_WORDS", 10**6)
+    small = decontaminate.clean(docs, table, length="n_chars")
+    assert large.columns == small.columns == docs.columns
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
+def test_decontamination_of_awkward_rows(spark, monkeypatch):
+    long = " ".join(f"w{k}" for k in range(700_000))
+    item = " ".join(f"w{k}" for k in range(400_000, 400_013))
+    rows = [(1, long, None, None, 1), (None, item, None, None, 1), (None, item, None, None, 1), (2, item, None, None, 1), (2, item, None, None, 1), (3, None, None, None, None), (4, "", None, None, None)]
+    bench = spark.createDataFrame([(7, item), (None, item), (7, "w5")], "item_id long, text string")
+    for words in (10**6, 1):
+        monkeypatch.setattr(decontaminate, "BENCHMARK_WORDS", words)
+        got = sorted(map(str, (tuple(r)[:4] for r in decontaminate.measure(frame(spark, rows), bench).collect())))
+        assert got == sorted(map(str, [(1, 700_000, 14, 2), (None, 13, 13, 2), (None, 13, 13, 2), (2, 13, 13, 2), (2, 13, 13, 2), (3, 0, 0, 0), (4, 0, 0, 0)]))
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -40,7 +61,7 @@ def test_automaton(seed):
     rng = random.Random(seed)
     bench = [(str(i), "".join(rng.choice("ab ") for _ in range(rng.randint(0, 30)))) for i in range(4)]
     text = "".join(rng.choice("ab ") for _ in range(80))
-    found = decontaminate.look(decontaminate.split_alnum(text.encode()), [decontaminate.build([(i, t.encode()) for i, t in bench], 4)])
+    found = decontaminate.look(decontaminate.split_alnum(text.encode()), decontaminate.build([(i, t.encode()) for i, t in bench], 4))
     want = fx.decontamination([(0, text)], bench, 4)[0]
     assert (found.n_words, int(found.hit.sum()), len(found.items)) == want[:3]
 
