@@ -10,17 +10,16 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.model import Settings
+from quern.model import FileProcessError, Settings
 from quern.plans import session
 from quern.sources.tables import encode_bodies, parse_settings, read_facts
 
-#: Lines of a list that are printed.
-SHOWN = 1000
-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("quern", description="Adjusts namespaces to folders.")
@@ -39,15 +38,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def report(scan: DataFrame, verbose: bool) -> list[str]:
-    """Planned and blocked files by path, at most SHOWN of each, and the totals."""
-    out = []
+def report(scan: DataFrame, verbose: bool) -> Iterator[str]:
+    """Planned and blocked files by path, all of them, and the totals; lines are fetched a partition at a time."""
     for outcome, text in (("plan", F.concat_ws(" -> ", "path", "target_ns")), ("block", F.concat_ws(": ", "path", "message"))):
         rows = scan.where(F.col("outcome") == outcome)
-        if outcome == "plan" or verbose:
-            out += [r[0] for r in rows.orderBy("path").limit(SHOWN).select(text).collect()]
-        out.append(f"{outcome}: {rows.count()} file(s)")
-    return out
+        n = 0
+        for n, r in enumerate(rows.orderBy("path").select(text).toLocalIterator(), 1):
+            if outcome == "plan" or verbose:
+                yield r[0]
+        yield f"{outcome}: {n} file(s)"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -61,10 +60,28 @@ def main(argv: list[str] | None = None) -> int:
         rows = spark.read.text(args.settings, wholetext=True).take(1)
         xml = rows[0][0] if rows else None
     settings = Settings(parse_settings(xml, args.solution_folder), args.regex, args.replacement, args.dry_run, args.check, args.force)
-    out = session.run(facts, settings, args.project)
-    print("\n".join([*out.said, *(report(out.scan, args.verbose) if out.scan is not None else [])]))
-    if out.bodies is not None and args.out:
-        encode_bodies(out.bodies).write.mode("overwrite").parquet(args.out)
+    try:
+        out = session.run(facts, settings, args.project)
+        for line in out.said:
+            print(line)
+        if out.scan is not None:
+            for line in report(out.scan, args.verbose):
+                print(line)
+        if out.bodies is not None and args.out:
+            # a task's files are in place as soon as it is done, so texts written before a stop are kept
+            encode_bodies(out.bodies).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(args.out)
+    except KeyboardInterrupt:
+        spark.sparkContext.cancelAllJobs()
+        print("Cancelled; what was written is kept.")
+        return session.ERROR
+    except FileProcessError as e:
+        print(e)
+        return session.ERROR
+    except PySparkException as e:
+        if (found := FileProcessError.found_in(str(e))) is None:
+            raise
+        print(found)
+        return session.ERROR
     return out.exit_code
 
 

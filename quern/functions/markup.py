@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.model import FRAGMENT
+from quern.model import FRAGMENT, FileProcessError
 
 # The grammar of what is recognised; names are of letters, digits and underscores.
 COMMENT = r"(?s)<!--.*?-->"
@@ -54,9 +56,11 @@ def comment_spans(body: str) -> list[tuple[int, int]]:
 
 
 def _live(pattern: str, body: str, comments: list[tuple[int, int]]) -> Iterator[re.Match]:
-    """Matches that do not begin in a comment."""
+    """Matches that do not begin in a comment; comments are in order and apart."""
+    starts = [a for a, _ in comments]
     for m in re.finditer(pattern, body):
-        if not any(a <= m.start() < z for a, z in comments):
+        k = bisect_right(starts, m.start()) - 1
+        if k < 0 or m.start() >= comments[k][1]:
             yield m
 
 
@@ -78,8 +82,10 @@ def fragments(body: str) -> list[Fragment]:
         ns, _, name = m[1].rpartition(".")
         found.append(Fragment("class", m.start(), len(m[0]), alias=language[1] if language else NO_ALIAS, name=name, ns=ns))
     taken = sorted((f.start, f.end) for f in found)
+    starts, ends = [a for a, _ in taken], list(accumulate((z for _, z in taken), max))
     for m in _live(USAGE, body, comments):
-        if not any(m.start() < z and m.end() > a for a, z in taken):
+        k = bisect_left(starts, m.end())  # of the fragments that begin before its end, does one end after its start
+        if not k or ends[k - 1] <= m.start():
             found.append(Fragment("usage", m.start(), len(m[0]), alias=m[1], name=m[2], is_markup_ext=body[: m.start()].rstrip().endswith("{")))
     return found
 
@@ -156,12 +162,20 @@ def move_root(body: str, target: str, path: str = "") -> str:
     return body if root is None or root.ns == target else move_class(body, root.ns, root.name, target, path)
 
 
+def of_file(path: str, work: Callable, *args):
+    """work(*args), with a failure bound to the file."""
+    try:
+        return work(*args)
+    except Exception as e:
+        raise FileProcessError(path, f"{type(e).__name__}: {e}") from e
+
+
 def scan(bodies: DataFrame) -> DataFrame:
     """FRAGMENT rows of (path, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, f.kind, f.start, f.length, f.prefix, f.alias, f.name, f.ns, f.suffix, f.form, f.is_markup_ext) for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if body for f in fragments(body)]
+            rows = [(p, f.kind, f.start, f.length, f.prefix, f.alias, f.name, f.ns, f.suffix, f.form, f.is_markup_ext) for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if body for f in of_file(p, fragments, body)]
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6, pa.bool_()]
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FRAGMENT.split(", ")])

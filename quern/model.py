@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
-    "solution_file": "path STRING, project_name STRING, project_file STRING, priority INT, project_ord INT",
+    "solution_file": "path STRING, project_name STRING, project_file STRING, priority INT, project_ord INT, ord INT",
     "document": "path STRING, project_id STRING, project_name STRING, project_file STRING, language STRING, supports_compilation BOOLEAN",
     "default_ns": "project_file STRING, default_ns STRING, ord INT",
     "namespace_decl": "path STRING, project_id STRING, decl_id INT, parts ARRAY<STRING>, file_scoped BOOLEAN, name_start INT, name_len INT, ord INT",
@@ -36,6 +37,25 @@ BLOCKS = {
 }
 
 
+class FileProcessError(Exception):
+    """A file that cannot be processed at all: it is named, and the run ends (a blocked file does not end it)."""
+
+    _MARK = "cannot process the file "
+
+    def __init__(self, path: str, why: str) -> None:
+        super().__init__(path, why)
+        self.path, self.why = path, why
+
+    def __str__(self) -> str:
+        return f"{self._MARK}<{self.path}>: {self.why}"
+
+    @classmethod
+    def found_in(cls, text: str) -> FileProcessError | None:
+        """The one that a failed Spark job reports, since a task's exception reaches the driver as text."""
+        m = re.search(cls._MARK + r"<([^>]*)>: (.*)", text)
+        return cls(m[1], m[2]) if m else None
+
+
 @dataclass(frozen=True)
 class Settings:
     """A run's configuration: skipped folders (canonical keys), the rename, and what to do."""

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.sources.tables import written
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """One row of each key, the first by order (which must be total for a fixed result)."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+    """One row of each key, the first by order (which must be total for a fixed result); nulls come first.
+
+    An aggregate, so that rows of a hot key are combined before the shuffle.
+    """
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*[c if c in key else F.col("_r")[c].alias(c) for c in df.columns])
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return first_wins(df, key, [F.desc(c) for c in order])
+    """One row of each key, the last by order; nulls come first."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*[c if c in key else F.col("_r")[c].alias(c) for c in df.columns])
 
 
 def greedy_spans(spans: Column) -> Column:

@@ -11,10 +11,10 @@ from quern.operators.ordered import first_wins
 
 
 def file_projects(solution_file: DataFrame) -> DataFrame:
-    """(path_key, path, project_name, project_file): the first project of a file wins; build output is left out."""
+    """(path_key, path, project_name, project_file, project_ord, ord): the first project of a file wins; build output is left out."""
     live = solution_file.where(F.col("path").isNotNull() & (F.col("path") != "") & ~is_build_output(F.col("path"), folder_of(F.col("project_file"))))
     keyed = live.withColumn("path_key", path_key(F.col("path"))).withColumn("project_name", without_framework(F.col("project_name")))
-    return first_wins(keyed, ["path_key"], ["priority", "project_ord", "project_file"]).select("path_key", "path", "project_name", "project_file")
+    return first_wins(keyed, ["path_key"], ["priority", "project_ord", "project_file"]).select("path_key", "path", "project_name", "project_file", "project_ord", "ord")
 
 
 def deepest_project(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def deepest_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     """
     p = projects.select(path_key(folder_of(F.col("project_file"))).alias("folder"), "project_file", "project_ord")
     up = files.select("path", F.explode(ancestors(folder_of(F.col("path")))).alias("folder"))
-    return first_wins(up.join(p, "folder"), ["path"], [F.desc(F.length("folder")), "project_ord", "project_file"]).select("path", "project_file")
+    return first_wins(up.join(p, "folder"), ["path"], [(-F.length("folder")).alias("depth"), "project_ord", "project_file"]).select("path", "project_file")
 
 
 def default_namespaces(projects: DataFrame, default_ns: DataFrame) -> DataFrame:

@@ -36,13 +36,21 @@ def alive_outside(questions: DataFrame, types: DataFrame) -> DataFrame:
     Metadata types count; so does a declaration in another file, unless it is the generated part
     of a type that the file declares too.
     """
-    q = questions.select("path", "project_id", "ns").distinct()
-    own = types.where("path is not null").select(path_key(F.col("path")).alias("own_key"), "project_id", "full_name").distinct()
-    parts = types.select("project_id", "ns", "full_name", F.col("path").alias("at"), "from_metadata")
-    pairs = q.join(parts, ["project_id", "ns"]).withColumn("own_key", path_key(F.col("path"))).join(own.withColumn("mine", F.lit(True)), ["own_key", "project_id", "full_name"], "left")
-    elsewhere = F.coalesce(F.col("from_metadata"), F.lit(False)) | ((path_key(F.col("at")) != F.col("own_key")) & ~(is_generated(F.col("at")) & F.coalesce("mine", F.lit(False))))
-    hit = pairs.where(elsewhere).select("path", "project_id", "ns").distinct().withColumn("alive", F.lit(True))
-    return q.join(hit, ["path", "project_id", "ns"], "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
+    q = questions.select("path", "project_id", "ns").distinct().withColumn("own_key", path_key(F.col("path")))
+    place = ["project_id", "ns"]
+    part = types.select(*place, "full_name", path_key(F.col("path")).alias("k"), F.coalesce("from_metadata", F.lit(False)).alias("fixed"), (F.col("path").isNotNull() & is_generated(F.col("path"))).alias("made"))
+    # of the files that fill a namespace by hand only the least and the largest matter: one of them is another file, or none is
+    by_hand = F.when(~F.col("made"), F.col("k"))
+    filled = part.groupBy(*place).agg(F.bool_or("fixed").alias("fixed"), F.min(by_hand).alias("a"), F.max(by_hand).alias("z"))
+    # a generated part counts unless its type is declared in the file too, which is so if there are more such types than the file declares
+    made = part.where("made").select(*place, "full_name").distinct()
+    n_made = made.groupBy(*place).agg(F.count("*").alias("n_made"))
+    own = part.where("k is not null").select(*place, "full_name", F.col("k").alias("own_key")).distinct()
+    n_mine = own.join(made, [*place, "full_name"]).groupBy(*place, "own_key").agg(F.count("*").alias("n_mine"))
+    j = q.join(filled, place, "left").join(n_made, place, "left").join(n_mine, [*place, "own_key"], "left")
+    none = F.lit(False)
+    alive = F.coalesce("fixed", none) | F.coalesce((F.col("a") != F.col("own_key")) | (F.col("z") != F.col("own_key")), none) | F.coalesce(F.col("n_made") > F.coalesce("n_mine", F.lit(0)), none)
+    return j.select("path", "project_id", "ns", alive.alias("alive"))
 
 
 def contradictory(alive: DataFrame) -> DataFrame:

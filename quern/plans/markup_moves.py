@@ -47,9 +47,9 @@ def move(bodies: DataFrame, moved: DataFrame, fragments: DataFrame | None = None
             for path, encoding, body, moves, root_ns in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 new = body
                 for m in moves or ():
-                    new = markup.move_class(new, m["source_ns"], m["class_name"], m["target_ns"], path)
+                    new = markup.of_file(path, markup.move_class, new, m["source_ns"], m["class_name"], m["target_ns"], path)
                 if new and root_ns is not None:
-                    new = markup.move_root(new, root_ns, path)
+                    new = markup.of_file(path, markup.move_root, new, root_ns, path)
                 if new != body:
                     rows.append((path, encoding, new))
             columns = list(zip(*rows, strict=True)) or [[]] * 3

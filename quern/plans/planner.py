@@ -12,6 +12,7 @@ from quern.model import BLOCKS, Facts, Settings
 from quern.operators.ordered import first_wins, reserve
 from quern.operators.ownership import default_namespaces, file_projects, in_scope, shared_files
 from quern.operators.state import alive_outside, contradictory, simple_names
+from quern.sources.tables import written
 
 
 def message_of(kind: Column) -> Column:
@@ -23,7 +24,7 @@ def message_of(kind: Column) -> Column:
 
 def targets(candidates: DataFrame, facts: Facts, settings: Settings) -> DataFrame:
     """(seq, path, path_key, project_file, chain, target_ns): null where the file has no project or lies outside its folder."""
-    owner = file_projects(facts["solution_file"]).drop("path")
+    owner = file_projects(facts["solution_file"]).select("path_key", "project_name", "project_file")
     spaces = default_namespaces(owner, facts["default_ns"]).drop("project_name")
     out = candidates.withColumn("path_key", path_key(F.col("path"))).join(owner, "path_key", "left").join(spaces, "project_file", "left")
     chain = folder_chain(F.col("path"), F.col("project_file"), settings.skipped)
@@ -99,7 +100,7 @@ def root_classes(fragments: DataFrame) -> DataFrame:
 def scan(candidates: DataFrame, facts: Facts, settings: Settings, fragments: DataFrame | None = None) -> DataFrame:
     """The plan with conflicts resolved: markup that would not change becomes none, and a file
     that would place a type where one of that name is, or is about to be, is blocked."""
-    plans = plan(candidates, facts, settings)
+    plans = written(plan(candidates, facts, settings), "plans")  # used three times below
     fragments = markup.scan(facts["body"]) if fragments is None else fragments
     roots = root_classes(fragments).select(path_key(F.col("path")).alias("k"), F.col("ns").alias("root_ns"))
     moving = moving_types(plans, facts)

@@ -1,8 +1,8 @@
 """All queries of the engine itself, by name, with their DuckDB SQL.
 
 Names begin with the kind of data: ``ns_`` queries run over the sample solution's facts (the
-same rows on both sides), ``tb_`` queries apply the same operators to the driver's tables at
-their scale; these are analogues and say nothing about namespaces.
+same rows on both sides), ``sx_`` queries over a solution generated from the driver's tables, at
+their scale; ``tb_`` queries apply the engine's operators to those tables as they are.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern import sample
+from quern import sample, synthetic
 from quern.functions import markup, names, paths
 from quern.operators import ordered, ownership, state, trees
+from quern.model import Facts
 from quern.plans import edits, markup_moves, planner, references, session
-from quern.sources.tables import decode_bodies, encode_bodies, parse_settings, render_settings
+from quern.sources.tables import decode_bodies, encode_bodies, parse_settings, render_settings, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -44,8 +45,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flagship(spark: SparkSession) -> DataFrame:
-    facts = sample.facts(spark)
+def _facts(spark: SparkSession, where: str) -> Facts:
+    """Those of the sample solution, or of the solution generated from the tables of a folder."""
+    return synthetic.facts(spark, where.folder) if isinstance(where, synthetic.Solution) else sample.facts(spark)
+
+
+def _table(spark: SparkSession, where: str, name: str) -> DataFrame:
+    return _facts(spark, where)[name]
+
+
+def flagship(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+    facts = _facts(spark, sf_dir)
     return planner.plan(facts["candidate"], facts, sample.SETTINGS)
 
 
@@ -153,45 +163,45 @@ SCAN = f"""(
 @query(f"SELECT path, project_name, project_file FROM {FILE_PROJECT}")
 def ns_file_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First project of each file wins, build output is left out."""
-    return ownership.file_projects(sample.table(spark, "solution_file")).drop("path_key")
+    return ownership.file_projects(_table(spark, sf_dir, "solution_file")).select("path", "project_name", "project_file")
 
 
 @query(f"""SELECT path, project_file FROM (SELECT f.path, p.project_file, row_number() OVER (PARTITION BY f.path ORDER BY length({folder('p.project_file')}) DESC, p.project_ord, p.project_file) AS r
   FROM (SELECT DISTINCT path FROM {R('candidate')}) f JOIN (SELECT DISTINCT project_file, project_ord FROM {R('solution_file')}) p ON {key(folder('f.path'))} = {key(folder('p.project_file'))} OR starts_with({key('f.path')}, {key(folder('p.project_file'))} || '\\')) WHERE r = 1""")
 def ns_deepest_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest containing project folder, as an equi-join on ancestors."""
-    projects = sample.table(spark, "solution_file").select("project_file", "project_ord").distinct()
-    return ownership.deepest_project(sample.table(spark, "candidate").select("path").distinct(), projects)
+    projects = _table(spark, sf_dir, "solution_file").select("project_file", "project_ord").distinct()
+    return ownership.deepest_project(_table(spark, sf_dir, "candidate").select("path").distinct(), projects)
 
 
 @query(f"SELECT project_file, project_name, default_ns FROM {DEFAULT_NS}")
 def ns_default_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First stated namespace, else the name without its last part."""
-    return ownership.default_namespaces(ownership.file_projects(sample.table(spark, "solution_file")), sample.table(spark, "default_ns"))
+    return ownership.default_namespaces(ownership.file_projects(_table(spark, sf_dir, "solution_file")), _table(spark, sf_dir, "default_ns"))
 
 
 @query(f"SELECT seq, path, array_to_string(chain, '|') AS chain, target_ns FROM {TARGETS}")
 def ns_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folder chain and target namespace; null and empty chains differ."""
-    f = sample.facts(spark)
+    f = _facts(spark, sf_dir)
     return planner.targets(f["candidate"], f, sample.SETTINGS).select("seq", "path", F.array_join("chain", "|").alias("chain"), "target_ns")
 
 
 @query(f"SELECT path_key, original, modified, is_root FROM {TRANSITIONS}")
 def ns_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each declaration becomes."""
-    f = sample.facts(spark)
+    f = _facts(spark, sf_dir)
     return planner.transitions(f["namespace_decl"], planner.targets(f["candidate"], f, sample.SETTINGS)).drop("ord")
 
 
 @query(f"SELECT path_key FROM {SHARED}")
 def ns_shared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: files of several project files; frameworks of one project count once."""
-    return ownership.shared_files(sample.table(spark, "document"))
+    return ownership.shared_files(_table(spark, sf_dir, "document"))
 
 
-def _alive(spark: SparkSession) -> DataFrame:
-    f = sample.facts(spark)
+def _alive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir)
     moves = planner.transitions(f["namespace_decl"], planner.targets(f["candidate"], f, sample.SETTINGS))
     asked = moves.select("path_key", F.col("original").alias("ns")).join(f["document"].withColumn("path_key", paths.path_key(F.col("path"))), "path_key").select("path", "project_id", "ns")
     return state.alive_outside(asked, f["type_decl_part"])
@@ -200,45 +210,45 @@ def _alive(spark: SparkSession) -> DataFrame:
 @query(f"SELECT path, project_id, ns, alive FROM {ALIVE}")
 def ns_alive_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per compilation, is a namespace filled outside the file."""
-    return _alive(spark)
+    return _alive(spark, sf_dir)
 
 
 @query(f"SELECT path, ns FROM {ALIVE} GROUP BY 1, 2 HAVING bool_or(coalesce(alive, true))")
 def ns_alive_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: in any compilation; unknown counts as alive."""
-    return state.alive_anywhere(_alive(spark))
+    return state.alive_anywhere(_alive(spark, sf_dir))
 
 
 @query(f"SELECT path, ns FROM {TORN}")
 def ns_contradictory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: compilations that disagree."""
-    return state.contradictory(_alive(spark))
+    return state.contradictory(_alive(spark, sf_dir))
 
 
 # ---- plan and scan -------------------------------------------------------------------------------
 @query(f"SELECT seq, path, outcome, target_ns, is_xaml, block_kind, message FROM {PLAN}")
 def ns_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder of decisions."""
-    return flagship(spark)
+    return flagship(spark, sf_dir)
 
 
 @query(f"SELECT seq, path, ns, full_name, type_name, target_ns, pos FROM {MOVING}")
 def ns_moving_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8 P10: top-level types that planned files move."""
-    f = sample.facts(spark)
+    f = _facts(spark, sf_dir)
     return planner.moving_types(planner.plan(f["candidate"], f, sample.SETTINGS), f)
 
 
 @query(f"SELECT ns, type_name FROM {SIMPLE}")
 def ns_simple_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-level names per namespace."""
-    return state.simple_names(sample.table(spark, "type_decl_part"))
+    return state.simple_names(_table(spark, sf_dir, "type_decl_part"))
 
 
 @query(f"SELECT DISTINCT m.path, m.target_ns, m.type_name FROM {MOVING} m JOIN {SIMPLE} s ON s.ns = m.target_ns AND s.type_name = m.type_name")
 def ns_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving types whose name the target already has."""
-    f = sample.facts(spark)
+    f = _facts(spark, sf_dir)
     moving = planner.moving_types(planner.plan(f["candidate"], f, sample.SETTINGS), f)
     return moving.join(state.simple_names(f["type_decl_part"]).withColumnRenamed("ns", "target_ns"), ["target_ns", "type_name"], "left_semi").select("path", "target_ns", "type_name").distinct()
 
@@ -246,14 +256,14 @@ def ns_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT * FROM {SCAN}")
 def ns_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan after conflicts and reservation in turn."""
-    f = sample.facts(spark)
+    f = _facts(spark, sf_dir)
     return planner.scan(f["candidate"], f, sample.SETTINGS)
 
 
 @query(f"SELECT CASE WHEN outcome = 'block' THEN block_kind ELSE outcome END AS what, count(*) AS n, min(path) AS first_path FROM {SCAN} GROUP BY 1")
 def ns_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of a scan."""
-    f = sample.facts(spark)
+    f = _facts(spark, sf_dir)
     found = planner.scan(f["candidate"], f, sample.SETTINGS)
     return found.groupBy(F.when(F.col("outcome") == "block", F.col("block_kind")).otherwise(F.col("outcome")).alias("what")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
 
@@ -262,7 +272,7 @@ def ns_report(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT {folder('path')} AS folder, regexp_extract(path, '[^\\\\]*$') AS name, outcome FROM {SCAN}) GROUP BY 1""")
 def ns_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by folder, and what they have in common."""
-    f = sample.facts(spark)
+    f = _facts(spark, sf_dir)
     found = planner.scan(f["candidate"], f, sample.SETTINGS).select(paths.folder_of(F.col("path")).alias("folder"), paths.file_name(F.col("path")).alias("name"), "outcome")
     return found.groupBy("folder").agg(F.when(F.countDistinct("outcome") == 1, F.min("outcome")).alias("common"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("files"))
 
@@ -274,7 +284,7 @@ _BY_FULL = f"(SELECT full_name, ns FROM (SELECT *, row_number() OVER (PARTITION
 @query(f"SELECT ns, array_to_string(list_sort(list(DISTINCT full_name)), '|') AS types FROM {_BY_FULL} GROUP BY 1")
 def ns_types_per_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last project wins, types by namespace."""
-    return state.types_per_namespace(sample.table(spark, "type_decl_part")).select("ns", F.array_join("types", "|").alias("types"))
+    return state.types_per_namespace(_table(spark, sf_dir, "type_decl_part")).select("ns", F.array_join("types", "|").alias("types"))
 
 
 _MOVES = [
@@ -290,8 +300,9 @@ def ns_partial_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.partial_types(spark.createDataFrame(_MOVE_TYPES, _MOVE_TYPE_SCHEMA))
 
 
-_EMPTIED = f"""(
-  WITH moves AS {sample.values(_MOVES, _MOVE_SCHEMA)}, types AS {sample.values(_MOVE_TYPES, _MOVE_TYPE_SCHEMA)},
+def _emptied_of(moves: str, types: str) -> str:
+    return f"""(
+  WITH moves AS {moves}, types AS {types},
   hand AS (SELECT DISTINCT full_name, {key('path')} AS k FROM types WHERE NOT {generated('path')}),
   stay AS (SELECT DISTINCT full_name FROM hand h WHERE NOT EXISTS (SELECT 1 FROM moves m WHERE m.full_name = h.full_name AND {key('m.path')} = h.k)),
   removed AS (SELECT DISTINCT full_name, ns FROM moves WHERE full_name NOT IN (SELECT full_name FROM stay)),
@@ -299,6 +310,9 @@ _EMPTIED = f"""(
   SELECT DISTINCT ns FROM removed WHERE ns NOT IN (SELECT ns FROM after))"""
 
 
+_EMPTIED = _emptied_of(sample.values(_MOVES, _MOVE_SCHEMA), sample.values(_MOVE_TYPES, _MOVE_TYPE_SCHEMA))
+
+
 def _emptied(spark: SparkSession) -> DataFrame:
     types = spark.createDataFrame(_MOVE_TYPES, _MOVE_TYPE_SCHEMA).withColumns({"ord": F.lit(1), "project_id": F.lit("p")})
     return state.emptied(types, spark.createDataFrame(_MOVES, _MOVE_SCHEMA))
@@ -348,20 +362,20 @@ _REFS = f"""(
       FROM {R('name_ref')} r JOIN {sample.values(_MOVED, _MOVED_SCHEMA)} m USING (type_full) WHERE coalesce(symbol_ns, '') <> m.target_ns)))"""
 
 
-def _reference_edits(spark: SparkSession) -> DataFrame:
-    return references.reference_edits(sample.table(spark, "name_ref"), sample.table(spark, "visible_name"), spark.createDataFrame(_MOVED, _MOVED_SCHEMA))
+def _reference_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.reference_edits(_table(spark, sf_dir, "name_ref"), _table(spark, sf_dir, "visible_name"), spark.createDataFrame(_MOVED, _MOVED_SCHEMA))
 
 
 @query(f'SELECT path, kind, span_start, span_len, text, "at" FROM {_REFS}')
 def ns_reference_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q10 Q11 Q11a Q11b Q11c Q11d J12 J16 J17 A12 F11 F17 F18 P17 W6: the ladder of references."""
-    return _reference_edits(spark)
+    return _reference_edits(spark, sf_dir)
 
 
 @query(f'SELECT path, kind, span_start, span_len, text, min("at") AS "at" FROM {_REFS} GROUP BY path, kind, span_start, span_len, text')
 def ns_edit_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal edits once, in order of insertion."""
-    return edits.edit_set(_reference_edits(spark))
+    return edits.edit_set(_reference_edits(spark, sf_dir))
 
 
 _SELF = [("a.cs", 10, "Old"), ("a.cs", 20, "Old.Part"), ("a.cs", 30, "New"), ("a.cs", 40, "Other"), ("b.cs", 10, "Old")]
@@ -393,14 +407,14 @@ def ns_greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ns_new_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts after a whole session."""
-    return session.run(sample.facts(spark), sample.SETTINGS).bodies
+    return session.run(_facts(spark, sf_dir), sample.SETTINGS).bodies
 
 
 @query()
 def ns_session_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q9 Q18: all edits of a session as rows."""
-    f = sample.facts(spark)
-    return session.all_edits(planner.scan(session.candidates(f), f, sample.SETTINGS), f, sample.SETTINGS)[0]
+    f = _facts(spark, sf_dir)
+    return session.all_edits(written(planner.scan(session.candidates(f), f, sample.SETTINGS), "scan"), f, sample.SETTINGS)[0]
 
 
 _ROOTS = [("c:\\solution\\MyApp",), ("C:/solution/Lib/Util/Helper.cs",), ("c:\\solution\\My",)]
@@ -409,16 +423,16 @@ _ROOTS = [("c:\\solution\\MyApp",), ("C:/solution/Lib/Util/Helper.cs",), ("c:\\s
 @query(f"SELECT DISTINCT path FROM {R('candidate')} WHERE {key('path')} LIKE 'C:\\SOLUTION\\MYAPP\\%' OR {key('path')} = 'C:\\SOLUTION\\LIB\\UTIL\\HELPER.CS'")
 def ns_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots match up to folder borders."""
-    return ownership.below_roots(sample.table(spark, "candidate").select("path"), spark.createDataFrame(_ROOTS, "root string")).distinct()
+    return ownership.below_roots(_table(spark, sf_dir, "candidate").select("path"), spark.createDataFrame(_ROOTS, "root string")).distinct()
 
 
 @query(f"SELECT root FROM {sample.values(_ROOTS, 'root STRING')} r WHERE NOT EXISTS (SELECT 1 FROM {R('candidate')} c WHERE {key('c.path')} = {key('r.root')} OR starts_with({key('c.path')}, {key('r.root')} || '\\'))")
 def ns_unmatched_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots without files."""
-    return ownership.unmatched_roots(sample.table(spark, "candidate").select("path"), spark.createDataFrame(_ROOTS, "root string"))
+    return ownership.unmatched_roots(_table(spark, sf_dir, "candidate").select("path"), spark.createDataFrame(_ROOTS, "root string"))
 
 
-_NAMES = [("MyApp.Shared",), ("My.App.Shared",), ("MyApp",), (".Shared",), ("System.X",), ("SystemX.Utils",), ("Microsoft",), ("global:: A . B",), ("A.B (net48)",), ("OldRoot.Folder1.Folder2",), ("",)]
+_NAMES = [("MyApp.Deep",), ("Big.Shop.Common",), ("MyApp",), (".Common",), ("System.X",), ("SystemTools.Net",), ("Microsoft",), ("global:: A . B",), ("A.B (net48)",), ("OldRoot.Folder1.Folder2",), ("",)]
 
 
 @query(f"""SELECT name, regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS fallback, {special('name')} AS special, {norm('name')} AS norm, CASE WHEN instr(name, ' (') > 1 THEN substr(name, 1, instr(name, ' (') - 1) ELSE name END AS project,
@@ -445,13 +459,13 @@ def ns_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT full_name, ns = 'Old.Util' AS direct FROM {R('type_decl_part')} WHERE {nested('ns', "'Old.Util'")}")
 def ns_subtree_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of a namespace, and of all below it."""
-    return sample.table(spark, "type_decl_part").where(names.nested_in(F.col("ns"), F.lit("Old.Util"))).select("full_name", (F.col("ns") == "Old.Util").alias("direct"))
+    return _table(spark, sf_dir, "type_decl_part").where(names.nested_in(F.col("ns"), F.lit("Old.Util"))).select("full_name", (F.col("ns") == "Old.Util").alias("direct"))
 
 
 @query(f"SELECT path, {norm('name')} AS ns, NOT in_namespace AS own FROM {R('using_clause')} WHERE alias IS NULL AND NOT is_static")
 def ns_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clauses that import a namespace; ``own`` ones belong to the file and not to a namespace in it."""
-    return sample.table(spark, "using_clause").where("alias is null and not is_static").select("path", names.normal_using(F.col("name")).alias("ns"), (~F.col("in_namespace")).alias("own"))
+    return _table(spark, sf_dir, "using_clause").where("alias is null and not is_static").select("path", names.normal_using(F.col("name")).alias("ns"), (~F.col("in_namespace")).alias("own"))
 
 
 _ASKED = [("Old",), ("Old.Util",), ("Old.Util.Inner",), ("Old.Ut",), ("MyApp",), ("Nowhere",)]
@@ -460,20 +474,20 @@ _ASKED = [("Old",), ("Old.Util",), ("Old.Util.Inner",), ("Old.Ut",), ("MyApp",),
 @query(f"SELECT a.ns, EXISTS (SELECT 1 FROM {R('type_decl_part')} t WHERE {nested('t.ns', 'a.ns')}) AS found FROM {sample.values(_ASKED, 'ns STRING')} a")
 def ns_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which namespaces exist. Types' namespaces are exploded into their prefixes, so it is an equi-join."""
-    there = sample.table(spark, "type_decl_part").select(F.explode(names.scope_prefixes(F.col("ns"))).alias("ns")).distinct().withColumn("found", F.lit(True))
+    there = _table(spark, sf_dir, "type_decl_part").select(F.explode(names.scope_prefixes(F.col("ns"))).alias("ns")).distinct().withColumn("found", F.lit(True))
     return spark.createDataFrame(_ASKED, "ns string").join(there, "ns", "left").select("ns", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query(f"SELECT path, arg_min(name, start) AS first_name, arg_max(name, start) AS last_name, max(start + len) AS last_end FROM {R('using_clause')} GROUP BY 1")
 def ns_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last clause of a file, and where new ones go."""
-    return sample.table(spark, "using_clause").groupBy("path").agg(F.min_by("name", "start").alias("first_name"), F.max_by("name", "start").alias("last_name"), F.max(F.col("start") + F.col("len")).alias("last_end"))
+    return _table(spark, sf_dir, "using_clause").groupBy("path").agg(F.min_by("name", "start").alias("first_name"), F.max_by("name", "start").alias("last_name"), F.max(F.col("start") + F.col("len")).alias("last_end"))
 
 
 @query(f"SELECT path, encoding, body FROM {R('body')}")
 def ns_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies written in their encodings and read back."""
-    return decode_bodies(encode_bodies(sample.table(spark, "body")))
+    return decode_bodies(encode_bodies(_table(spark, sf_dir, "body")))
 
 
 # ---- trees -------------------------------------------------------------------------------------
@@ -529,8 +543,9 @@ def ns_compile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT seq, CASE WHEN seq % 2 = 0 THEN seq || '/' || n || ' Performing cleanup ' || path ELSE seq || '/' || n || ': ' || path END AS line FROM {R('candidate')}, (SELECT count(*) AS n FROM {R('candidate')})")
 def ns_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress lines of both stages."""
-    n = len(sample.TABLES["candidate"])
-    return sample.table(spark, "candidate").select("seq", F.when(F.col("seq") % 2 == 0, F.format_string("%d/%d Performing cleanup %s", "seq", F.lit(n), "path")).otherwise(F.format_string("%d/%d: %s", "seq", F.lit(n), "path")).alias("line"))
+    files = _table(spark, sf_dir, "candidate")
+    n = files.count()
+    return files.select("seq", F.when(F.col("seq") % 2 == 0, F.format_string("%d/%d Performing cleanup %s", "seq", F.lit(n), "path")).otherwise(F.format_string("%d/%d: %s", "seq", F.lit(n), "path")).alias("line"))
 
 
 # ---- markup --------------------------------------------------------------------------------------
@@ -539,7 +554,7 @@ def ns_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
   len(regexp_extract_all(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '<\\s?/?\\s?\\w+\\s?:\\s?\\w+')) AS n_tags, len(regexp_extract_all(body, '\\{{\\s?x:(Type|Static)\\s+\\w+\\s?:\\s?\\w+')) AS n_extensions FROM {R('body')} WHERE path LIKE '%.xaml'""")
 def ns_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a document's fragments say."""
-    b = sample.table(spark, "body").where("path like '%.xaml'")
+    b = _table(spark, sf_dir, "body").where("path like '%.xaml'")
     f = markup.scan(b)
     comments = markup.matches(b, markup.COMMENT).groupBy("path").agg(F.count("*").alias("n_comments"))
     root = planner.root_classes(f).select("path", F.col("ns").alias("root_ns"), F.col("name").alias("root_name"))
@@ -550,7 +565,7 @@ def ns_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ns_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fragments with positions."""
-    return markup.scan(sample.table(spark, "body"))
+    return markup.scan(_table(spark, sf_dir, "body"))
 
 
 @query(f"""SELECT DISTINCT 'c:\\solution\\MyApp\\Views\\Main.xaml' AS path, source_ns, class_name, target_ns FROM {sample.values([("A.B.Class1", "A.B", "Class1", "X"), ("Old.Views.Main", "Old.Views", "Main", "Y"), ("Z.No", "Z", "No", "Y")], _MOVED_SCHEMA)}
@@ -558,42 +573,44 @@ def ns_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ns_markup_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents refer to which moved types, by equi-joins."""
     moved = spark.createDataFrame([("A.B.Class1", "A.B", "Class1", "X"), ("Old.Views.Main", "Old.Views", "Main", "Y"), ("Z.No", "Z", "No", "Y")], _MOVED_SCHEMA)
-    return markup_moves.affected(markup.scan(sample.table(spark, "body")), moved).select("path", "source_ns", "class_name", "target_ns")
+    return markup_moves.affected(markup.scan(_table(spark, sf_dir, "body")), moved).select("path", "source_ns", "class_name", "target_ns")
 
 
 @query()
 def ns_markup_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after two types have moved."""
     moved = spark.createDataFrame([("A.B.Class1", "A.B", "Class1", "X.New"), ("Old.Views.Main", "Old.Views", "Main", "Y")], _MOVED_SCHEMA)
-    return markup_moves.move(sample.table(spark, "body"), moved)
+    return markup_moves.move(_table(spark, sf_dir, "body"), moved)
 
 
 # ---- the same operators on the driver's tables ---------------------------------------------------
 @query("SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x, i: i > 1 AND x <> ''), '.') AS chain FROM pages")
 def tb_url_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 on URLs: the host as project folder, path segments as the chain."""
-    parts = F.split(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/")
-    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(F.filter(parts, lambda x, i: (i > 0) & (x != "")), ".").alias("chain"))
+    # a URL's segments are folders here, so a file name is put after them
+    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/+", "/")
+    file = F.concat(F.rtrim(url, F.lit("/")), F.lit("/x"))
+    project = F.concat(F.substring_index(url, "/", 1), F.lit("/p"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(paths.folder_chain(file, project), ".").alias("chain"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def tb_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user. An aggregate, so hot users are combined before the shuffle."""
-    first = F.min(F.struct("ts", "event_id", "event_type")).alias("f")
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(first).select("user_id", "f.event_id", "f.event_type")
+    """The first event of each user."""
+    return ordered.first_wins(_t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def tb_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10's rule: the last event of each user."""
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("f")).select("user_id", "f.event_id", "f.value")
+    return ordered.last_wins(_t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_linestatus = 'O') AND NOT bool_and(l_linestatus = 'O')")
 def tb_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: orders whose lines disagree."""
-    open_ = F.col("l_linestatus") == "O"
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(open_).alias("any"), F.bool_and(open_).alias("every")).where("any and not every").select("l_orderkey")
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.lit("").alias("ns"), (F.col("l_linestatus") == "O").alias("alive"))
+    return state.contradictory(lines).select(F.col("path").alias("l_orderkey"))
 
 
 @query("SELECT page_id AS path, strlen(c[1]) AS start_bytes, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS n FROM (SELECT page_id, html, string_split_regex(html, '(?s)<!--.*?-->') AS c FROM pages) WHERE len(c) > 1")
@@ -604,45 +621,6 @@ def tb_comment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(pages, "path").select("path", F.octet_length(F.substring("body", F.lit(1), F.col("s"))).alias("start_bytes"), "n")
 
 
-@query("SELECT page_id, len(t) AS n_tags, array_to_string(list_sort(list_distinct(t)), ',') AS kinds FROM (SELECT page_id, regexp_extract_all(html, '<\\s?/?\\s?([a-zA-Z0-9]+)', 1) AS t FROM pages)")
-def tb_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of pages, in the JVM: positions are not asked for."""
-    t = F.regexp_extract_all("html", F.lit(r"<\s?/?\s?([a-zA-Z0-9]+)"), F.lit(1))
-    return _t(spark, sf_dir, "pages").select("page_id", F.size(t).alias("n_tags"), F.array_join(F.array_sort(F.array_distinct(t)), ",").alias("kinds"))
-
-
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
-def tb_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of nations with rich customers."""
-    rich = _t(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("s_nationkey"))
-    return _t(spark, sf_dir, "supplier").join(rich, "s_nationkey", "left_semi").select("s_suppkey", "s_name")
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-def tb_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without large orders."""
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
-
-
-@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS common, count(*) AS n FROM orders GROUP BY 1")
-def tb_tri_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The common status of a customer's orders, or null. min = max instead of a distinct count: one shuffle."""
-    s = F.col("o_orderstatus")
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.when(F.min(s) == F.max(s), F.min(s)).alias("common"), F.count("*").alias("n"))
-
-
-@query("SELECT DISTINCT event_type, user_id FROM events")
-def tb_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct pairs."""
-    return _t(spark, sf_dir, "events").select("event_type", "user_id").distinct()
-
-
-@query("SELECT l_partkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 10")
-def tb_report_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten of a report."""
-    return _t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")).orderBy(F.desc("n"), "l_partkey").limit(10)
-
-
 _DAY = "date_diff('day', TIMESTAMP '1990-01-01', o_orderdate)::INTEGER"
 
 
@@ -660,11 +638,63 @@ def tb_greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, prefix FROM (SELECT p.page_id, f.prefix, row_number() OVER (PARTITION BY p.page_id ORDER BY length(f.prefix) DESC, f.prefix) AS r
   FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) p JOIN (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') AS prefix FROM pages) f ON p.url = f.prefix OR starts_with(p.url, f.prefix || '/')) WHERE r = 1""")
 def tb_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deepest known folder above each URL, as an equi-join on exploded ancestors."""
+    """The deepest known folder above each URL, by the join of files with project folders."""
     url = F.regexp_replace("url", "[?#].*$", "")
     pages = _t(spark, sf_dir, "pages").select("page_id", url.alias("url"))
     folders = pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("prefix")).distinct()
-    parts = F.split("url", "/")
-    up = pages.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("prefix"))
-    best = up.join(folders, "prefix").groupBy("page_id").agg(F.max(F.struct(F.length("prefix").alias("l"), "prefix")).alias("b"))
-    return best.select("page_id", "b.prefix")
+    # a URL lies below itself too: one more part makes it a folder
+    projects = folders.select(F.concat("prefix", F.lit("/p")).alias("project_file"), F.lit(0).alias("project_ord"))
+    found = ownership.deepest_project(pages.select(F.concat("url", F.lit("/x")).alias("path")).distinct(), projects)
+    return pages.withColumn("path", F.concat("url", F.lit("/x"))).join(found, "path").select("page_id", F.regexp_replace("project_file", "/p$", "").alias("prefix"))
+
+
+# ---- the same queries on a generated solution, one file an order -----------------------------------
+def _at_volume(sql: str) -> str:
+    for name in sample.TABLES:
+        sql = sql.replace(sample.relation(name), synthetic.relation(name))
+    return sql
+
+
+def _generated(of: Callable[[SparkSession, str], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return of(spark, synthetic.Solution(sf_dir))
+
+    name = of.__name__.replace("ns_", "sx_")
+    run.__name__, run.__doc__ = name, f"{of.__doc__} Over the solution that the tables give."
+    query(_at_volume(_SQL[of.__name__]) if of.__name__ in _SQL else None)(run)
+
+
+for _of in (
+    ns_file_projects, ns_deepest_project, ns_default_namespaces, ns_targets, ns_transitions, ns_shared_files, ns_alive_outside, ns_alive_anywhere, ns_contradictory, ns_plan,
+    ns_moving_types, ns_simple_names, ns_type_conflicts, ns_types_per_namespace, ns_imports,
+):
+    _generated(_of)
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> tuple[Facts, DataFrame]:
+    f = synthetic.facts(spark, sf_dir)
+    return f, planner.moving_types(written(planner.plan(f["candidate"], f, sample.SETTINGS), "plans"), f)
+
+
+_SX_EMPTIED = _emptied_of(f"(SELECT DISTINCT path, ns, full_name, target_ns FROM {_at_volume(MOVING)})", _at_volume(f"(SELECT path, ns, full_name FROM {R('type_decl_part')})"))
+
+
+@query(f"SELECT ns FROM {_SX_EMPTIED}")
+def sx_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Namespaces that the planned moves empty, over the solution that the tables give."""
+    f, moves = _moves(spark, sf_dir)
+    return state.emptied(f["type_decl_part"], moves)
+
+
+@query(f"SELECT path, start AS span_start, len AS span_len FROM {_at_volume(R('using_clause'))} u WHERE {norm('name')} IN (SELECT ns FROM {_SX_EMPTIED})")
+def sx_dead_usings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of emptied namespaces, over the solution that the tables give."""
+    f, moves = _moves(spark, sf_dir)
+    return state.dead_usings(f["using_clause"], state.emptied(f["type_decl_part"], moves)).select("path", "span_start", "span_len")
+
+
+@query()
+def sx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan, over the solution that the tables give. Turn by turn SQL is too slow here; tests compare it with a plain loop."""
+    f = synthetic.facts(spark, sf_dir)
+    return planner.scan(f["candidate"], f, sample.SETTINGS)

@@ -61,7 +61,7 @@ USE = "using System;\r\nusing A.B;\r\n\r\n/* the old names */  namespace MyApp.T
 MAIN = '<Window x:Class="Old.Views.Main" xmlns:x="http://schemas.microsoft.com/winfx/2006/xaml"\n        xmlns:old="clr-namespace:A.B;assembly=MyApp" xmlns:gone="clr-namespace:Never.Used">\n  <!-- <old:Class1/> -->\n  <old:Class1 Tag="{x:Type old:Class1}"></old:Class1>\n</Window>\n'
 
 TABLES: dict[str, list[tuple]] = {
-    "solution_file": [(path, _NAMES[project], project, 0 if path.lower().endswith(".cs") else 1, [APP, TESTS, LIB, MULTI].index(project)) for path, project in _FILES],
+    "solution_file": [(path, _NAMES[project], project, 0 if path.lower().endswith(".cs") else 1, [APP, TESTS, LIB, MULTI].index(project), i) for i, (path, project) in enumerate(_FILES)],
     "document": _documents(),
     "default_ns": [(APP, None, 1), (APP, "MyApp", 2), (TESTS, "MyApp.Tests", 1), (LIB, "", 1), (MULTI, "Multi", 1)],
     "namespace_decl": _DECLS,
@@ -100,6 +100,10 @@ def facts(spark: SparkSession) -> Facts:
 _TYPES = {"STRING": "VARCHAR", "INT": "INTEGER", "BIGINT": "BIGINT", "BOOLEAN": "BOOLEAN", "ARRAY<STRING>": "VARCHAR[]"}
 
 
+def duck_type(spark_type: str) -> str:
+    return _TYPES[spark_type]
+
+
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"

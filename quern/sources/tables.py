@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from xml.etree import ElementTree
@@ -20,16 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # executors of local-cluster are processes of their own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, as a URI, in the shared folder."""
+    return f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/quern/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: cuts the lineage, so a lost executor costs no recomputation."""
+    path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -99,6 +105,8 @@ def encode_bodies(bodies: DataFrame) -> DataFrame:
     """(path, content): the reverse of decode_bodies, with the same mark."""
     content = F
     for mark, charset in MARKS:
-        if charset != "UTF-32LE":
-            content = content.when(F.col("encoding") == f"{charset}-BOM", F.concat(F.unhex(F.lit(mark)), F.encode("body", charset)))
+        raw = F.encode("body", charset if charset != "UTF-32LE" else "UTF-32")
+        if charset == "UTF-32LE":  # Spark's UTF-32 is big-endian: each four bytes are turned round
+            raw = F.unhex(F.regexp_replace(F.hex(raw), "(..)(..)(..)(..)", "$4$3$2$1"))
+        content = content.when(F.col("encoding") == f"{charset}-BOM", F.concat(F.unhex(F.lit(mark)), raw))
     return bodies.select("path", content.otherwise(F.encode("body", "UTF-8")).alias("content"))

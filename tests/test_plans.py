@@ -45,7 +45,7 @@ def test_root_class_moves_without_its_code(spark):
     """The code behind is where it should be already; the markup of another project file has none."""
     f = sample.facts(spark)
     f.tables["namespace_decl"] = f["namespace_decl"].where(~F.col("path").endswith("Main.xaml.cs"))
-    f.tables["solution_file"] = f["solution_file"].unionByName(spark.createDataFrame([(sample.S + "MyApp\\Alone.xaml", "MyApp", sample.APP, 1, 0)], f["solution_file"].schema))
+    f.tables["solution_file"] = f["solution_file"].unionByName(spark.createDataFrame([(sample.S + "MyApp\\Alone.xaml", "MyApp", sample.APP, 1, 0, 99)], f["solution_file"].schema))
     alone = '<Page x:Class="Old.Alone" xmlns:x="http://schemas.microsoft.com/winfx/2006/xaml" xmlns:l="clr-namespace:Old;assembly=Q"><l:Alone/></Page>'
     f.tables["body"] = f["body"].unionByName(spark.createDataFrame([((sample.S + "MyApp\\Alone.xaml").upper(), "UTF-8", alone)], f["body"].schema))
     out = session.run(f, sample.SETTINGS)
@@ -66,7 +66,7 @@ def test_using_of_a_namespace_that_only_another_project_fills(spark):
     types = [(files[0][0], "app", "Legacy", "Class1"), (files[1][0], "app", "App", "Use"), (files[2][0], "lib", "Legacy", "Class2"), (files[3][0], "near", "Near", "Use")]
     ref = lambda at, name: (at, 40, 6, name, f"Legacy.{name}", "Legacy", "NamedType", "other", "App", None, None, None, False, None, False)
     rows = {
-        "solution_file": [(p, i, f, 0, 0) for p, i, f in files], "document": [(p, i, i, f, "C#", True) for p, i, f in files],
+        "solution_file": [(p, i, f, 0, 0, k) for k, (p, i, f) in enumerate(files)], "document": [(p, i, i, f, "C#", True) for p, i, f in files],
         "default_ns": [(app, "App", 1), (lib, "Legacy", 1), (near, "Near", 1)], "namespace_decl": [(p, i, 1, [ns], False, 10, len(ns), 1) for p, i, ns, _ in types],
         "type_decl_part": [(p, i, ns, name, f"{ns}.{name}", None, "class", 1, False, 1) for p, i, ns, name in types],
         "using_clause": [(files[1][0], "Legacy", None, False, False, 0, 13), (files[3][0], "Legacy", None, False, False, 0, 13)],
@@ -137,10 +137,10 @@ def test_greedy_spans_and_text(spark):
 
 
 def test_bodies_keep_their_encoding(spark):
-    raw = {"a": b"\xef\xbb\xbf<a/>\r\n", "b": "<b é/>\n".encode(), "c": b"\xff\xfe" + "<c/>".encode("utf-16-le"), "d": b"\xfe\xff" + "<d/>".encode("utf-16-be")}
+    raw = {"a": b"\xef\xbb\xbf<a/>\r\n", "b": "<b é/>\n".encode(), "c": b"\xff\xfe" + "<c/>".encode("utf-16-le"), "d": b"\xfe\xff" + "<d/>".encode("utf-16-be"), "e": b"\xff\xfe\0\0" + "<e é🙂/>".encode("utf-32-le"), "f": b"", "g": b"\xff\xfe\0\0"}
     files = spark.createDataFrame([(k, bytearray(v)) for k, v in raw.items()], "path string, content binary")
     bodies = decode_bodies(files)
-    assert {r["path"]: r["body"] for r in bodies.collect()} == {"a": "<a/>\r\n", "b": "<b é/>\n", "c": "<c/>", "d": "<d/>"}
+    assert {r["path"]: r["body"] for r in bodies.collect()} == {"a": "<a/>\r\n", "b": "<b é/>\n", "c": "<c/>", "d": "<d/>", "e": "<e é🙂/>", "f": "", "g": ""}
     assert {r["path"]: bytes(r["content"]) for r in encode_bodies(bodies).collect()} == raw
 
 
@@ -170,3 +170,112 @@ def test_command_line(spark, tmp_path, capsys):
     out = {r["path"].rpartition("\\")[2]: bytes(r["content"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert out["Use.cs"].startswith(b"\xef\xbb\xbfusing System;")
     assert b"MyApp.Sub.Deep" in out["Class1.cs"]
+
+
+def test_reservation_in_the_stated_order(spark):
+    """Two files place the same type; the first of the solution's order keeps it, whatever the hashes or names of the paths."""
+    from quern.model import SCHEMAS, Facts
+
+    app = "c:\\s\\App\\App.csproj"
+    for first, second in (("A", "B"), ("B", "A")):
+        files = [f"c:\\s\\App\\Sub\\{first}.cs", f"c:\\s\\App\\Sub\\{second}.cs"]
+        rows = {
+            "solution_file": [(p, "App", app, 0, 0, k) for k, p in enumerate(files)], "document": [(p, "app", "App", app, "C#", True) for p in files], "default_ns": [(app, "App", 1)],
+            "namespace_decl": [(p, "app", 1, [f"Old{k}"], False, 10, 4, 1) for k, p in enumerate(files)], "type_decl_part": [(p, "app", f"Old{k}", "Same", f"Old{k}.Same", None, "class", 1, False, 1) for k, p in enumerate(files)],
+        }
+        facts = Facts(spark, {name: spark.createDataFrame(r, SCHEMAS[name]) for name, r in rows.items()})
+        got = {r["path"]: r["outcome"] for r in planner.scan(session.candidates(facts), facts, Settings()).collect()}
+        assert got == {files[0]: "plan", files[1]: "block"}
+
+
+def test_alive_outside_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    paths = [f"f{k}.cs" for k in range(6)] + ["F1.cs", "f9.g.cs", "x\\obj\\f8.cs"]
+    rows = [(rng.choice(paths + [None]), rng.choice("pq"), ns := rng.choice(("A", "B", "C")), f"{ns}.T{rng.randint(0, 3)}", rng.random() < 0.1) for _ in range(40)]
+    asked = [(p, pid, ns) for p in paths for pid in "pq" for ns in "ABCD"]
+    upper = lambda p: None if p is None else p.upper()
+    own = {(upper(p), pid, full) for p, pid, _, full, _ in rows if p}
+    want = {}
+    for p, pid, ns in asked:
+        hits = [fixed or at is not None and upper(at) != upper(p) and not ((at.endswith(".g.cs") or "\\obj\\" in at) and (upper(p), pid, full) in own) for at, i, n, full, fixed in rows if (i, n) == (pid, ns)]
+        want[p, pid, ns] = any(hits)
+    types = spark.createDataFrame(rows, "path string, project_id string, ns string, full_name string, from_metadata boolean")
+    got = state.alive_outside(spark.createDataFrame(asked, "path string, project_id string, ns string"), types)
+    assert {(r["path"], r["project_id"], r["ns"]): r["alive"] for r in got.collect()} == want
+
+
+def test_first_and_last_put_nulls_first(spark):
+    rows = spark.createDataFrame([("a", None, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, 3, "w")], "k string, o int, v string")
+    assert {tuple(r) for r in ordered.first_wins(rows, ["k"], ["o"]).collect()} == {("a", None, "x"), (None, 3, "w")}
+    assert {tuple(r) for r in ordered.last_wins(rows, ["k"], ["o"]).collect()} == {("a", 2, "z"), (None, 3, "w")}
+
+
+def test_nested_types_of_moved_ones_are_followed(spark):
+    """Any depth, and no type that only begins with the same letters."""
+    f = sample.facts(spark)
+    more = [("A.B.Class1.Nested.Deep", "A.B", "Deep", "A.B.Class1.Nested"), ("A.B.Class10.Other", "A.B", "Other", "A.B.Class10")]
+    parts = spark.createDataFrame([(sample.S + "MyApp\\Sub\\Deep\\Class1.cs", "myapp", ns, name, full, outer, "class", 1, False, 9) for full, ns, name, outer in more], f["type_decl_part"].schema)
+    f.tables["type_decl_part"] = f["type_decl_part"].unionByName(parts)
+    refs = spark.createDataFrame([(sample.S + "MyApp.Tests\\Use.cs", 1000 + k, 4, name, full, ns, "NamedType", "other", "MyApp.Tests", None, None, None, False, None, False) for k, (full, ns, name, _) in enumerate(more)], f["name_ref"].schema)
+    f.tables["name_ref"] = refs
+    found = spark.createDataFrame([(1, sample.S + "MyApp\\Sub\\Deep\\Class1.cs", "plan", "MyApp.Sub.Deep", False)], "seq long, path string, outcome string, target_ns string, is_xaml boolean")
+    rows, _ = session.all_edits(found, f, sample.SETTINGS)
+    assert [(r["at"], r["text"]) for r in rows.where("kind = 'add_using' and path like '%Use.cs'").collect()] == [(1000, "MyApp.Sub.Deep")]
+
+
+def test_scan_of_a_generated_solution_turn_by_turn(spark):
+    from pathlib import Path
+
+    from quern import synthetic
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test data")
+    f = synthetic.facts(spark, folder)
+    plans = planner.plan(f["candidate"], f, sample.SETTINGS)
+    moving = planner.moving_types(plans, f).orderBy("seq", "pos").collect()
+    taken = {(r["ns"], r["type_name"]) for r in state.simple_names(f["type_decl_part"]).collect()}
+    want = {r["path"]: r["outcome"] for r in plans.collect()}
+    keys: dict = {}
+    for r in moving:
+        keys.setdefault(r["path"], []).append((r["target_ns"], r["type_name"]))
+    for path, mine in keys.items():  # in order of seq
+        if taken & set(mine):
+            want[path] = "block"
+        else:
+            taken |= set(mine)
+    for r in plans.where("is_xaml and outcome = 'plan'").collect():
+        want[r["path"]] = "none"  # without a body there is nothing to move
+    got = {r["path"]: r["outcome"] for r in planner.scan(f["candidate"], f, sample.SETTINGS).collect()}
+    assert got == want
+    assert list(want.values()).count("block") > list(r["outcome"] for r in plans.collect()).count("block")
+
+
+def test_cancelling_is_an_outcome(spark):
+    out = session.run(sample.facts(spark), sample.SETTINGS, cancelled=lambda: True)
+    assert (out.edits, out.bodies, out.exit_code, out.said[-1]) == (None, None, session.ERROR, "cancelled")
+    assert out.scan.count() == 20
+
+
+def test_a_failure_names_its_file(spark, monkeypatch):
+    from quern.functions import markup
+    from quern.model import FileProcessError
+
+    with pytest.raises(FileProcessError) as e:
+        markup.of_file("c:\\a b.xaml", int, "x")
+    found = FileProcessError.found_in(f"org.apache...: Traceback\n{e.value}\n at x")
+    assert found.path == "c:\\a b.xaml" and "ValueError" in found.why
+
+    def fail(batches):
+        raise FileProcessError("c:\\x.xaml", "broken")
+        yield
+
+    def broken_scan(*_):
+        spark.range(1).mapInArrow(fail, "id long").collect()
+
+    monkeypatch.setattr(planner, "scan", broken_scan)
+    with pytest.raises(FileProcessError) as e:
+        session.run(sample.facts(spark), sample.SETTINGS)
+    assert e.value.path == "c:\\x.xaml"
