@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: work folders, word splitting, the fold rule.
+"""What the operators of this subpackage share: word splitting, the fold rule, slices of batches.
 
 Words.  Two rules are used.  ``split_ws`` cuts at ASCII white space only
 (``[^\\x20\\x09-\\x0D]+``), ``split_alnum`` keeps digits, letters and everything above
@@ -9,14 +9,14 @@ exactly what the rules ask for, and needs no regular expression.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import work_folder, written  # noqa: F401  (handed on)
+
 SEPARATORS = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or 65 <= c <= 90))
 ALNUM_TABLE = bytes.maketrans(SEPARATORS + bytes(range(65, 91)), b" " * len(SEPARATORS) + bytes(range(97, 123)))
 
@@ -29,32 +29,6 @@ def split_alnum(text: bytes) -> list[bytes]:
     return text.translate(ALNUM_TABLE).split()
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, as a URI, in the folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it.  Only where that is unset (a local session, as in
-    tests) a temporary one is made and set; a cluster without the setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = work_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

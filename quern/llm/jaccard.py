@@ -25,7 +25,7 @@ is made twice here, once across the cluster and once inside small blocks:
     are dealt over SALTS parts; the others have at most (postings / table size) members.
 5.  Components of these candidate edges are *blocks*: a link never leaves its block.  Each set moves to its
     block once, and the block runs DivideSkip with union-find, leaving out pairs that are
-    connected already.  A block of more than BLOCK_SHINGLES shingles is cut into chunks, each a task of its
+    connected already.  A block of more than BLOCK_WEIGHT shingles is cut into chunks, each a task of its
     own: see ``_search``.
 
 The result is exact up to collisions of 64-bit hashes.  No pair of a group of copies is ever
@@ -59,11 +59,11 @@ SHORT_LIST = 48
 COUNTED = 0.5
 #: Posted beyond the plain prefix, as a share of the set, and at least.
 EXTRA, LEAST_EXTRA = 0.05, 3
-#: Shingles (8 bytes each) of one task's sets; a single set may have more.
-BLOCK_SHINGLES = 400_000
+#: Weight of one task's sets, in shingles (8 bytes each); a set weighs SET_WEIGHT besides its own. A single set may have more.
+BLOCK_WEIGHT, SET_WEIGHT = 500_000, 400
 #: Parts of a long list, or of a block with many nodes.
 SALTS = 64
-#: The filter that tells which texts are needed again has eight bits a node and at most so many; beyond, texts are joined by their keys.
+#: The filter that tells which texts are needed again has 64 bits a node or more, up to so many; where these are under eight a node, texts are joined by their keys.
 FILTER_BITS = 1 << 28
 _REMEMBERED = 200_000
 
@@ -427,6 +427,10 @@ def solve_groups(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(roots, pa.int64())})
 
 
+def _weight() -> Column:
+    return F.sum(F.col("n") + SET_WEIGHT)
+
+
 def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
     """A bit for the hash of each node: bits / 8 bytes; others that pass are joined away."""
     at = F.pmod(F.xxhash64("node"), F.lit(bits))
@@ -444,9 +448,11 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) ->
     texts are joined with the wanted nodes by key.  Either way the join by (node, fp) decides.
     """
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).where("node is not null")
-    bits = max(64, 1 << (8 * wanted.count() - 1).bit_length())
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, bits) if bits <= FILTER_BITS else None)
-    if bits > FILTER_BITS:
+    count = wanted.count()
+    bits = max(64, min(FILTER_BITS, 1 << (64 * count).bit_length()))
+    filtered = 8 * count <= FILTER_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, bits) if filtered else None)
+    if not filtered:
         slim = slim.join(wanted.select("node"), "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +492,7 @@ def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks:
     placed = big.join(inside, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = placed.where("node = block").select("block", F.col("root").alias("main"))
     placed = placed.join(main, "block").withColumn("apart", F.col("root") != F.col("main"))
-    rest = placed.where("apart").groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("groups"))
+    rest = placed.where("apart").groupBy("block").agg(F.ceil(_weight() / BLOCK_WEIGHT).cast("long").alias("groups"))
     placed = written(placed.join(rest, "block"), "large-blocks")
     if placed.isEmpty():
         return links
@@ -514,7 +520,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     blocks = components(candidates(nodes, percent, max(8, int(volume // 500_000))))
     placed = written(blocks.join(nodes.select("node", "fp", "n"), "node").select("node", "fp", "n", F.col("root").alias("block")), "blocks")
     wanted = written(_chunked(placed), "chunks")
-    tasks = max(8, int((wanted.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    tasks = max(8, int((wanted.agg(_weight()).first()[0] or 0) // BLOCK_WEIGHT))
     links = _search(lambda some: _candidate_sets(docs, some, key, text), wanted, tasks, percent)
     linked_to = components(links)
     component = nodes.select("fp", "n", "node").join(linked_to, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("root"))
@@ -526,7 +532,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def _chunked(placed: DataFrame) -> DataFrame:
     """With ``chunks`` (of the block) and ``chunk`` (of the node). Only large blocks are looked up, each in SALTS copies, so a large one is no hot key."""
-    sizes = placed.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("chunks")).where("chunks > 1")
+    sizes = placed.groupBy("block").agg(F.ceil(_weight() / BLOCK_WEIGHT).cast("long").alias("chunks")).where("chunks > 1")
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     found = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(salted, ["block", "salt"], "left")
     return found.drop("salt").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long"))).withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("chunks")))

@@ -22,7 +22,8 @@ def test_same_as_all_pairs(spark):
 @pytest.mark.parametrize(("block", "table", "bits"), [(200, 2_000_000, 1 << 28), (400_000, 2_000_000, 0), (200, 0, 1 << 28), (400_000, 5, 1 << 28)])
 def test_groups_and_shared_passages(spark, monkeypatch, block, table, bits):
     """A large group of near copies, passages that many texts share, chains of edits; also with blocks cut into chunks, a full table, no filter."""
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", block)
+    monkeypatch.setattr(jaccard, "SET_WEIGHT", 1)
     monkeypatch.setattr(jaccard, "TABLE", table)
     monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
     monkeypatch.setattr(jaccard, "SHORT", 4)
