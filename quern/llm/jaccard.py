@@ -171,6 +171,7 @@ def _frequent(docs: DataFrame, text: str) -> Frequent:
                     yield from out()
                     held, size = [], 0
         yield from out()
+        _words.clear()  # workers live on; other stages need the memory
 
     def add(group: pa.Table) -> pa.Table:
         keys, n = np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -225,6 +226,7 @@ def sets(docs: DataFrame, frequent: Frequent, key: str, text: str) -> DataFrame:
             first = [_ordered(s, frequent) if len(s) else (s, 0) for s in found]
             flat, offsets = _flat([f[0] for f in first])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.array([f[1] for f in first], pa.int64())], names=["key", "n", "fp", "posted", "n_often"])
+        _words.clear()
 
     return slim.mapInArrow(run, T.StructType([T.StructField("key", slim.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("posted", T.ArrayType(T.LongType())), T.StructField("n_often", T.LongType())]))
 
@@ -463,6 +465,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) ->
                 b = b.filter(pa.array((passing[at >> 6] >> (at & 63)) & 1 == 1))
             found = [shingle_set(t) for t in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "fp", "shingles"])
+        _words.clear()
 
     return slim.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, "node long, fp binary, shingles binary").join(wanted, ["node", "fp"])
 

@@ -25,11 +25,12 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import cached_property
 
 import numpy as np
 
 #: Distinct pieces of one generation; a worker remembers two.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BLANKS = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
@@ -71,7 +72,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
@@ -84,7 +85,7 @@ class Encoder:
         self.kind = "bytes" if pre.get("type") == "ByteLevel" and not norm and pre.get("use_regex") and not pre.get("add_prefix_space") else "words" if steps == ["NFC", "Replace", "Lowercase"] and (spec["model"].get("end_of_word_suffix") == "</w>") else "whole"
         if not verbatim:
             self.kind = "whole"
-        self.size = self.tokenizer.get_vocab_size()
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in added)], default=-1) if isinstance(spec["model"].get("vocab"), dict) else self.tokenizer.get_vocab_size()
         if self.kind != "whole":
             # between added tokens: a text that is lowered to their string does not hold it
             self.between = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
@@ -93,6 +94,13 @@ class Encoder:
         self.first = _Known(lambda p: self._make(p, "", self.first))
         self.spaced = _Known(lambda p: self._make(p, " ", self.spaced))  # keys without their blank
 
+    @cached_property
+    def tokenizer(self):
+        """The file as it is; the fast paths do without it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, tokenizer, text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
