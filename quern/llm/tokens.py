@@ -30,7 +30,7 @@ from functools import cached_property
 import numpy as np
 
 #: Distinct pieces of one generation; a worker remembers two.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BLANKS = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
@@ -122,7 +122,7 @@ class Encoder:
             return np.empty(0, np.uint32)
         if self.kind == "whole":
             return np.frombuffer(self._ids(self.tokenizer, text), np.uint32)
-        if self.added_in and self.added_in.search(text):
+        if any(x in text for x in self.added):
             return np.frombuffer(b"".join(self.added.get(part) or self._between(part) for part in self.added_in.split(text) if part), np.uint32)
         return np.frombuffer(self._between(text), np.uint32)
 
