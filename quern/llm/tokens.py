@@ -29,8 +29,8 @@ from functools import cached_property
 
 import numpy as np
 
-#: Distinct pieces of one generation; a worker remembers two.
-REMEMBERED = 300_000
+#: Distinct pieces of one generation, by kind of file; a worker remembers two.
+REMEMBERED = {"bytes": 450_000, "words": 300_000, "whole": 0}
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _BLANKS = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
@@ -53,15 +53,15 @@ def encoder(path: str) -> Encoder:
 class _Known(dict):
     """piece -> ids as bytes, made when first asked for; pieces not asked for in two generations are forgotten."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.make(piece)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
@@ -91,8 +91,9 @@ class Encoder:
             self.between = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
             bare = spec | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding")) | {"added_tokens": []}
             self.plain = Tokenizer.from_str(json.dumps(bare))
-        self.first = _Known(lambda p: self._make(p, "", self.first))
-        self.spaced = _Known(lambda p: self._make(p, " ", self.spaced))  # keys without their blank
+        most = REMEMBERED[self.kind]
+        self.first = _Known(lambda p: self._make(p, "", self.first), most)
+        self.spaced = _Known(lambda p: self._make(p, " ", self.spaced), most)  # keys without their blank
 
     @cached_property
     def tokenizer(self):
