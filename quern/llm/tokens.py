@@ -25,6 +25,7 @@ import os
 import re
 import unicodedata
 from array import array
+from codecs import charmap_decode
 from functools import cached_property
 
 import numpy as np
@@ -38,6 +39,7 @@ _CUT = re.compile(r"(?= \S)")
 #: The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in turn from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_LETTERS = "".join(BYTES[b] for b in range(256))
 
 _encoders: dict[str, Encoder] = {}
 
@@ -90,7 +92,9 @@ class Encoder:
             # between added tokens: a text that is lowered to their string does not hold it
             self.between = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
             bare = spec | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding")) | {"added_tokens": []}
-            self.plain = Tokenizer.from_str(json.dumps(bare))
+            self.model = Tokenizer.from_str(json.dumps(bare)).model
+            if hasattr(self.model, "_resize_cache"):
+                self.model._resize_cache(0)  # pieces are remembered here; a second memory only costs time
         most = REMEMBERED[self.kind]
         self.first = _Known(lambda p: self._make(p, "", self.first), most)
         self.spaced = _Known(lambda p: self._make(p, " ", self.spaced), most)  # keys without their blank
@@ -107,8 +111,8 @@ class Encoder:
 
     def _make(self, piece: str, blank: str, own: _Known) -> bytes:
         if piece.isalpha():
-            text = blank + piece
-            return self._ids(self.plain, text.replace(" ", BYTES[32]) if text.isascii() else text.encode().decode("latin-1").translate(BYTES))
+            letters, _ = charmap_decode((blank + piece).encode(), "strict", _LETTERS)
+            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if (m := _WORD_AND_MARKS.fullmatch(piece)) and m[1].isalpha():
             return own[m[1]] + self.first[m[2]]
         if "\n" in piece:
