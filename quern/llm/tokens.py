@@ -142,6 +142,7 @@ class Encoder:
             low = text.lower()
             # a last sigma is lowered by its place in a word, and a lowered text need not be normal: leave those to the library
             if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
-                pieces = [p.decode("utf-8", "surrogatepass") for p in low.encode("utf-8", "surrogatepass").split()] if not low.isascii() else re.split(r"[ \t\n\r\x0b\x0c]+", low.strip(" \t\n\r\x0b\x0c"))
-                return b"".join(map(self.first.__getitem__, filter(None, pieces)))
+                for c in "\t\n\r\x0b\x0c":
+                    low = low.replace(c, " ")
+                return b"".join(map(self.first.__getitem__, filter(None, low.split(" "))))
         return self._ids(self.between, text)
