@@ -36,8 +36,7 @@ outside the class of the least node meet all chunks.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -48,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import as_bytes, only, slices, split_ws, written
+from quern.llm.common import as_bytes, only, slices, written
 from quern.llm.components import components
 
 #: Keys that more than SHORT texts hold are frequent; the most frequent of them, at most TABLE (9 bytes each), are sent to the tasks.
@@ -65,37 +64,110 @@ BLOCK_WEIGHT, SET_WEIGHT = 500_000, 400
 SALTS = 64
 #: The filter that tells which texts are needed again has 64 bits a node or more, up to so many; where these are under eight a node, texts are joined by their keys.
 FILTER_BITS = 1 << 28
-_REMEMBERED = 200_000
+#: Bytes of text that are hashed at once (some 30 bytes of memory each), and the words hashed one by one instead, from so many bytes.
+PIECE, LONG_WORD = 1 << 18, 1 << 16
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.Generator(np.random.PCG64(9)).integers(0, 2**64, 256, np.uint64)  # by stated bit generator: alike on all machines
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_SPACE] = 0
+#: A base whose powers differ in low bits (3 modulo 8), its inverse modulo 2^64, and powers of both.
+_BASE = 0x9E3779B97F4A7C1B
+_INVERSE = pow(_BASE, -1, 2**64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        for shift in (32, 29):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
-_words: dict[bytes, int] = {}
 
+def _powers_upto(n: int) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse; kept for the next piece."""
+    while len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            have = _powers[k]
+            _powers[k] = np.concatenate([have, have * np.uint64(pow(base, len(have), 2**64))])
+    return _powers
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _words
-    new = set(words).difference(known)
-    if len(known) + len(new) > _REMEMBERED:
-        known.clear()
-        new = set(words)
-    for w in new:
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+def _piece_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, their places in text); text begins and ends with white space.
 
-def shingle_set(text: bytes | None, size: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of all words as one, if they are fewer."""
-    words = split_ws(text) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _word_hashes(words)
-    k = min(size, len(h))
-    acc = np.full(len(h) - k + 1, np.uint64(0x9E3779B97F4A7C15 + k), np.uint64)
+    A word's hash is a polynomial of its lower-cased bytes, taken as the difference of two sums from the start of
+    the piece over the power at the word's first byte: it depends on the word alone.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    powers, inverses = _powers_upto(len(raw))
+    white = _SPACE[raw]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    sums = _BYTE[raw]
+    with np.errstate(over="ignore"):
+        sums *= powers[: len(raw)]
+        np.cumsum(sums, out=sums)
+        h = _mixed((sums[ends - 1] - sums[starts - 1]) * inverses[starts])
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(text[starts[i] : ends[i]].lower())
+    return h, starts
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of one text, in pieces that end at white space; a very long word costs no more than its bytes."""
+    out, at = [], 0
+    while at < len(text):
+        cut = _WHITE.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        if end - at <= PIECE + LONG_WORD:
+            out.append(_piece_hashes(b" " + text[at:end] + b" ")[0])
+        else:
+            *words, last = text[at:end].split(None)
+            out.append(_piece_hashes(b" " + b" ".join(words) + b" ")[0])
+            out.append(np.array([xxhash.xxh64_intdigest(last.lower())], np.uint64) if len(last) >= LONG_WORD else _piece_hashes(b" " + last + b" ")[0])
+        at = end
+    return np.concatenate([*out, np.empty(0, np.uint64)])
+
+
+def _windows(h: np.ndarray, k: int) -> np.ndarray:
+    acc = np.full(max(0, len(h) - k + 1), np.uint64((0x9E3779B97F4A7C15 + k) % 2**64), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
             acc = (acc ^ (acc >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + h[i : i + len(acc)]
-        for shift in (32, 29):
-            acc = (acc ^ (acc >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
-        acc ^= acc >> np.uint64(32)
-    return np.unique(acc)
+    return _mixed(acc)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def shingle_sets(texts: list[bytes | None], size: int = 4) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its word shingles; of all words as one, if they are fewer."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end] or b"") < PIECE):
+            held += len(texts[end] or b"") + 1
+            end += 1
+        some = [t or b"" for t in texts[at:end]]
+        if len(some) == 1:
+            h, bounds = _word_hashes(some[0]), [0]
+        else:
+            h, starts = _piece_hashes(b" " + b" ".join(some) + b" ")
+            firsts = np.cumsum([1, *(len(t) + 1 for t in some[:-1])])
+            bounds = np.searchsorted(starts, firsts).tolist()
+        windows = _windows(h, size)
+        for a, z in zip(bounds, [*bounds[1:], len(h)], strict=True):
+            yield _distinct(windows[a : z - size + 1] if z - a >= size else _windows(h[a:z], z - a) if z > a else h[:0])
+        at = end
+
+
+def shingle_set(text: bytes | None, size: int = 4) -> np.ndarray:
+    return next(shingle_sets([text], size))
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
@@ -103,9 +175,9 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def _keys(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """Keys of the counted shingles (a sorted run at the start): their 32 + bits low bits."""
+    """Keys of the counted shingles (a sorted run at the start), sorted: their 32 + bits upper bits below the first, which is 0."""
     n = np.searchsorted(shingles, np.uint64(int(COUNTED * 2**64)))
-    return shingles[:n] & np.uint64((1 << 32 + bits) - 1)
+    return shingles[:n] >> np.uint64(31 - bits)
 
 
 def need(a: int, b: int, percent: int = 85) -> int:
@@ -145,6 +217,34 @@ class Frequent:
     levels: np.ndarray
 
 
+def _summed(counts: list[np.ndarray]) -> np.ndarray:
+    """Counts of 32-bit keys, each key << 32 | count: one a key, sorted."""
+    both = np.sort(np.concatenate(counts))
+    keys = both >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    n = np.add.reduceat(both & np.uint64(0xFFFFFFFF), first) if len(keys) else both
+    return keys[first] << np.uint64(32) | np.minimum(n, np.uint64(0xFFFFFFFF))
+
+
+def add_counts(group: pa.Table) -> pa.Table:
+    """Rows (chunk, keys, n) of one chunk -> its keys of more than SHORT texts.
+
+    Rows are as many as the tasks found parts, so they are gathered and summed only when they outweigh the sums so far:
+    each count is sorted a few times, however many rows there are, and memory stays in proportion to the distinct keys.
+    """
+    sums, held, size = np.empty(0, np.uint64), [], 0
+    for k, c in zip(group.column("keys"), group.column("n"), strict=True):
+        held.append(np.frombuffer(k.as_buffer(), np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(c.as_buffer(), np.uint8))
+        size += len(held[-1])
+        if size > max(1_000_000, len(sums)):
+            sums, held, size = _summed([sums, *held]), [], 0
+    sums = _summed([sums, *held])
+    n = (sums & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    many = n > SHORT
+    chunk = group.column("chunk")[0].as_py() if group.num_rows else 0
+    return pa.table({"key": pa.array((sums[many] >> np.uint64(32)).astype(np.int64) + (chunk << 32)), "n": pa.array(n[many])})
+
+
 def _frequent(docs: DataFrame, text: str) -> Frequent:
     """The keys that more than SHORT texts hold, the most frequent TABLE of them."""
     bits = min(20, max(6, (docs.count() // 4000).bit_length()))  # a key range of about a million keys for each value of the upper bits
@@ -163,26 +263,16 @@ def _frequent(docs: DataFrame, text: str) -> Frequent:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "keys", "n"])
 
         for b in slices(batches):
-            for t in as_bytes(b.column(0)):
-                k = _keys(shingle_set(t), bits)
+            for s in shingle_sets(as_bytes(b.column(0))):
+                k = _keys(s, bits)
                 held.append(k)
                 size += len(k)
                 if size > 2_000_000:
                     yield from out()
                     held, size = [], 0
         yield from out()
-        _words.clear()  # workers live on; other stages need the memory
-
-    def add(group: pa.Table) -> pa.Table:
-        keys, n = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for k, c in zip(group.column("keys").to_pylist(), group.column("n").to_pylist(), strict=True):
-            keys, where = np.unique(np.concatenate([keys, np.frombuffer(k, np.uint32)]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([n, np.frombuffer(c, np.uint8).astype(np.int64)]), len(keys)).astype(np.int64)
-        many = n > SHORT
-        chunk = group.column("chunk")[0].as_py() if group.num_rows else 0
-        return pa.table({"key": pa.array(keys[many].astype(np.int64) + (chunk << 32)), "n": pa.array(n[many])})
-
-    counted = written(only(docs, text).mapInArrow(count, "chunk int, keys binary, n binary").groupBy("chunk").applyInArrow(add, "key long, n long"), "frequent")
+
+    counted = written(only(docs, text).mapInArrow(count, "chunk int, keys binary, n binary").groupBy("chunk").applyInArrow(add_counts, "key long, n long"), "frequent")
     at_least = {r["n"]: r["c"] for r in counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).toLocalIterator()}
     level, total = SHORT + 1, sum(at_least.values())
     for n in sorted(at_least):
@@ -222,11 +312,10 @@ def sets(docs: DataFrame, frequent: Frequent, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for b in slices(batches):
-            found = [shingle_set(t) for t in as_bytes(b.column(1))]
+            found = list(shingle_sets(as_bytes(b.column(1))))
             first = [_ordered(s, frequent) if len(s) else (s, 0) for s in found]
             flat, offsets = _flat([f[0] for f in first])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.array([f[1] for f in first], pa.int64())], names=["key", "n", "fp", "posted", "n_often"])
-        _words.clear()
 
     return slim.mapInArrow(run, T.StructType([T.StructField("key", slim.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("posted", T.ArrayType(T.LongType())), T.StructField("n_often", T.LongType())]))
 
@@ -342,18 +431,30 @@ def candidates(nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 class Block:
-    """The sets of a block as inverted lists, and their T-occurrence search."""
+    """The sets of a block as inverted lists, and their T-occurrence search.
+
+    Shingles are numbered; owners holds the lists one after the other, rows the numbers of each member. A shingle of
+    one member alone has a list of no use, and most shingles are such: they are left out of rows.
+    """
 
     def __init__(self, members: list[np.ndarray]) -> None:
-        self.sizes = [len(m) for m in members]
+        self.sizes = np.array([len(m) for m in members])
         tokens = np.concatenate(members)
-        owner = np.repeat(np.arange(len(members)), self.sizes)
-        _, number = np.unique(tokens, return_inverse=True)
-        order = np.lexsort((owner, number))
-        bounds = np.searchsorted(number[order], np.arange(number.max() + 2))
-        self.lists = [x.tolist() for x in np.split(owner[order], bounds[1:-1])]
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        first = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        number = np.empty(len(tokens), np.int64)
+        number[order] = np.cumsum(first) - 1
+        self.owners = np.repeat(np.arange(len(members)), self.sizes)[order]
+        self.bounds = np.append(np.flatnonzero(first), len(tokens))
+        length = np.diff(self.bounds)
         ends = np.cumsum(self.sizes)
-        self.rows = [number[e - n : e].tolist() for e, n in zip(ends, self.sizes, strict=True)]
+        self.rows = []
+        for e, n in zip(ends, self.sizes, strict=True):
+            row = number[e - n : e]
+            shared = length[row]
+            row, shared = row[shared > 1], shared[shared > 1]
+            self.rows.append(row[np.argsort(shared, kind="stable")])  # short lists first
         self.parent = list(range(len(members)))
 
     def root(self, x: int) -> int:
@@ -367,42 +468,53 @@ class Block:
         if x != y:
             self.parent[max(x, y)] = min(x, y)
 
+    def _counts(self, lists: np.ndarray) -> np.ndarray:
+        """How many of these lists hold each member."""
+        at = zip(self.bounds[lists].tolist(), self.bounds[lists + 1].tolist(), strict=True)
+        return np.bincount(np.concatenate([self.owners[a:z] for a, z in at]), minlength=len(self.sizes))
+
     def search(self, x: int, percent: int, mu: float = 0.02) -> None:
         """Joins x with every text linked to it that is not connected with it yet."""
-        n = self.sizes[x]
+        n, row = int(self.sizes[x]), self.rows[x]
         least = -(-percent * n // 100)  # a partner shares at least this many
-        lists = sorted((self.lists[t] for t in self.rows[x]), key=len)
-        n_long = min(least - 1, int(least / (mu * np.log2(max(2, len(lists[-1]))) + 1)))
-        short, long = lists[: n - n_long], lists[n - n_long :]
-        run, count = -1, 0
-        candidates = []
-        for y in heapq.merge(*(s for s in short if len(s) > 1)):
-            if y != run:
-                if count >= least - n_long:
-                    candidates.append((run, count))
-                run, count = y, 0
-            count += 1
-        if count >= least - n_long:
-            candidates.append((run, count))
-        for y, common in candidates:
-            m = self.sizes[y]
-            if y == x or not fits(n, m, percent) or self.root(y) == self.root(x):
-                continue
-            t = need(n, m, percent)
-            for k, z in enumerate(long):
-                if common + n_long - k < t:
-                    break
-                at = bisect_left(z, y)
-                common += at < len(z) and z[at] == y
-            if linked(common, n, m, percent):
-                self.join(x, y)
-
-    def solve(self, percent: int) -> list[int]:
-        """The least member of each member's component.
+        if len(row) < least:
+            return
+        longest = int(self.bounds[row[-1] + 1] - self.bounds[row[-1]])
+        n_long = min(least - 1, int(least / (mu * np.log2(max(2, longest)) + 1)))
+        short, long = row[: len(row) - n_long], row[len(row) - n_long :]
+        if len(short) < least - n_long:
+            return
+        common = self._counts(short)
+        sizes = self.sizes
+        candidates = np.flatnonzero((common >= least - n_long) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+        mine = self.root(x)
+        candidates = np.array([y for y in candidates.tolist() if y != x and self.root(y) != mine], np.int64)
+        if not len(candidates):
+            return
+        common = common[candidates]
+        if len(long):
+            starts, stops = self.bounds[long], self.bounds[long + 1]
+            if 16 * len(candidates) * len(long) < int((stops - starts).sum()):
+                for a, z in zip(starts.tolist(), stops.tolist(), strict=True):  # few candidates: probe each long list
+                    held = self.owners[a:z]
+                    at = np.minimum(np.searchsorted(held, candidates), z - a - 1)
+                    common = common + (held[at] == candidates)
+            else:  # to probe for so many is dearer than to count
+                common = common + self._counts(long)[candidates]
+        other = sizes[candidates]
+        for y in candidates[100 * common >= percent * (n + other - common)].tolist():
+            self.join(x, y)
+
+    def solve(self, percent: int, askers: list[bool] | None = None) -> list[int]:
+        """The least member of each member's component; with askers, by the links of these alone.
 
         Once all but one component have been searched from every member, no link is left: a link between
         components has an end outside the largest.  The first member is searched first, which settles a group of copies of it.
         """
+        if askers is not None and not all(askers):
+            for x in np.flatnonzero(askers).tolist():
+                self.search(x, percent)
+            return [self.root(x) for x in range(len(self.sizes))]
         self.search(0, percent)
         big = self.root(0)
         for x in sorted(range(1, len(self.sizes)), key=lambda x: self.root(x) == big):
@@ -412,20 +524,28 @@ class Block:
 
 
 def solve_groups(group: pa.Table, percent: int) -> pa.Table:
-    """Rows (block, node, fp, set) of one task's blocks -> (node, root).  Sets of one node, of a key with several texts, are joined."""
+    """Rows (block, node, fp, set) of one task's blocks -> (node, root).  Sets of one node, of a key with several texts, are joined.
+
+    With a column ``asks`` only links with an end among the rows that ask are looked for.
+    """
     blocks: dict[int, dict[tuple[int, bytes], np.ndarray]] = {}
     for block, node, fp, raw in zip(*(group.column(c).to_pylist() for c in ("block", "node", "fp", "shingles")), strict=True):
         blocks.setdefault(block, {})[node, fp] = np.frombuffer(raw, np.uint64)
+    asking = None
+    if "asks" in group.column_names:
+        named = zip(*(group.column(c).to_pylist() for c in ("block", "node", "fp", "asks")), strict=True)
+        asking = {(block, node, fp) for block, node, fp, asks in named if asks}
     nodes, roots = [], []
-    for members in blocks.values():
+    for name, members in blocks.items():
         ids = sorted(members)
         if len(ids) > 1:
             block = Block([members[i] for i in ids])
             for x in range(1, len(ids)):
                 if ids[x][0] == ids[x - 1][0]:
                     block.join(x - 1, x)
+            found = block.solve(percent, None if asking is None else [(name, *i) in asking for i in ids])
             nodes += [i[0] for i in ids]
-            roots += [ids[r][0] for r in block.solve(percent)]
+            roots += [ids[r][0] for r in found]
     return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(roots, pa.int64())})
 
 
@@ -463,9 +583,8 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) ->
             if passing is not None:
                 at = b.column(2).to_numpy()
                 b = b.filter(pa.array((passing[at >> 6] >> (at & 63)) & 1 == 1))
-            found = [shingle_set(t) for t in as_bytes(b.column(1))]
+            found = list(shingle_sets(as_bytes(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "fp", "shingles"])
-        _words.clear()
 
     return slim.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, "node long, fp binary, shingles binary").join(wanted, ["node", "fp"])
 
@@ -504,7 +623,8 @@ def _search(sets_of: Callable[[DataFrame], DataFrame], wanted: DataFrame, tasks:
     # a node apart goes, with its group, to every chunk of its block; every node goes, with its chunk, to every group
     asked = F.when(F.col("apart"), F.transform(upto(F.col("chunks")), lambda j: F.struct(group.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
     met = F.transform(upto(F.col("groups")), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
-    both = whole.withColumn("to", F.explode(F.array_distinct(F.concat(asked, met)))).select(F.xxhash64("block", "to.i", "to.j").alias("task"), "block", "node", "fp", "shingles")
+    asks = F.col("apart") & (F.col("to.i") == group)
+    both = whole.withColumn("to", F.explode(F.array_distinct(F.concat(asked, met)))).select(F.xxhash64("block", "to.i", "to.j").alias("task"), "block", "node", "fp", "shingles", asks.alias("asks"))
     last = written(both.groupBy("task").applyInArrow(solve, "node long, root long"), "links")
     return links.unionByName(last.select(F.col("node").alias("a"), F.col("root").alias("b")))
 

@@ -137,3 +137,62 @@ def test_awkward_rows_and_names(spark):
     got = jaccard.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, long), (3, "p q r s t u v w"), (None, None), (5, "")], key=str)
+
+
+def test_counts_of_many_parts_are_sorted_a_few_times(monkeypatch):
+    """A chunk of the counts comes in as many parts as there are millions of shingles: not a pass over all keys for each."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 300_000, 2000).astype(np.uint32)) for _ in range(1500)]
+    counts = [rng.integers(1, 256, len(p)).astype(np.uint8) for p in parts]
+    summed, sizes = jaccard._summed, []
+    monkeypatch.setattr(jaccard, "_summed", lambda x: sizes.append(sum(map(len, x))) or summed(x))
+    got = jaccard.add_counts(pa.table({"chunk": pa.array([3] * 1500, pa.int32()), "keys": [p.tobytes() for p in parts], "n": [c.tobytes() for c in counts]}))
+    want = np.bincount(np.concatenate(parts), np.concatenate(counts)).astype(np.int64)
+    keys = np.flatnonzero(want > jaccard.SHORT)
+    assert got.column("key").to_pylist() == (keys + (3 << 32)).tolist()
+    assert got.column("n").to_pylist() == want[keys].tolist()
+    assert sum(sizes) < 2 * sum(map(len, parts))
+
+
+def test_search_of_a_family_by_its_askers_alone(monkeypatch):
+    """Edited copies of one text, linked and unlinked: as all pairs say; where some ask, only these are searched."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = []
+    for share in rng.choice([0.02, 0.07, 0.1, 0.2], 90):
+        s = base.copy()
+        at = rng.random(len(s)) < share
+        s[at] = rng.integers(0, 2**63, at.sum()).astype(np.uint64)
+        sets.append(np.unique(s))
+    sets += [np.unique(rng.integers(0, 50, rng.integers(1, 12)).astype(np.uint64)) for _ in range(60)]
+    sets = list({s.tobytes(): s for s in sets}.values())
+    asks = (rng.random(len(sets)) < 0.3).tolist()
+    pairs = [(x, y) for x in range(len(sets)) for y in range(x) if jaccard.linked(len(np.intersect1d(sets[x], sets[y])), len(sets[x]), len(sets[y]))]
+
+    def classes(pairs):
+        block = jaccard.Block(sets)
+        for x, y in pairs:
+            block.join(x, y)
+        return [block.root(x) for x in range(len(sets))]
+
+    assert jaccard.Block(sets).solve(85) == classes(pairs)
+    searched, search = [], jaccard.Block.search
+    monkeypatch.setattr(jaccard.Block, "search", lambda self, x, *a: searched.append(x) or search(self, x, *a))
+    group = pa.table({"block": [1] * len(sets), "node": list(range(len(sets))), "fp": [jaccard.fingerprint(s) for s in sets], "shingles": [s.tobytes() for s in sets], "asks": asks})
+    got = jaccard.solve_groups(group, 85)
+    assert dict(zip(got.column("node").to_pylist(), got.column("root").to_pylist(), strict=True)) == dict(enumerate(classes([p for p in pairs if asks[p[0]] or asks[p[1]]])))
+    assert searched == [x for x in range(len(sets)) if asks[x]]
+
+
+def test_sets_of_many_texts_at_once_are_those_of_each():
+    texts = [b"", None, b" ", b"a", b"A b", b"\t\nx y Z w v\x0b\x0c\r", b"x" * 70_000 + b" y", "é ß Ä  q é ß Ä".encode(), b"\x1c a\x85b c d e", b"q " * 3 + b"Z" * 600_000 + b" tail one two", b"the same " * 90_000, b" ".join(b"u%d" % i for i in range(90_000))]
+    for some in (texts, texts[::-1], texts * 2):
+        for t, s in zip(some, jaccard.shingle_sets(some), strict=True):
+            words = [bytes(w) for w in (t or b"").lower().split()]
+            assert len(s) == len({tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else [])
+            assert (s == jaccard.shingle_set(t)).all()
+            assert (s == jaccard.shingle_set(b"\r\n" + b"\t ".join(w.upper() for w in words))).all()
