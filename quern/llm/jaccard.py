@@ -59,7 +59,7 @@ COUNTED = 0.5
 #: Posted beyond the plain prefix, as a share of the set, and at least.
 EXTRA, LEAST_EXTRA = 0.05, 3
 #: Weight of one task's sets, in shingles (8 bytes each); a set weighs SET_WEIGHT besides its own. A single set may have more.
-BLOCK_WEIGHT, SET_WEIGHT = 500_000, 400
+BLOCK_WEIGHT, SET_WEIGHT = 1_000_000, 400
 #: Parts of a long list, or of a block with many nodes.
 SALTS = 64
 #: The filter that tells which texts are needed again has 64 bits a node or more, up to so many; where these are under eight a node, texts are joined by their keys.
